@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plexgraph.llm import mixing, sharding
+from plexgraph.llm import mixing, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_best_fit_packing": packing.op2,
         "op7_sharding": sharding.op7,
         "op10_source_mix": mixing.op10,
     }
