@@ -66,6 +66,7 @@ def _thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
             rows = rows.join(edge, F.col("source").eqNullSafe(F.col("_s")) & (parent == F.col("_b"))).drop("_s", "_b")
         # a row for each source and bucket: at most 8192 a source
         sums = rows.groupBy(F.col("source").alias("_s"), "_cell").agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+        state = state.drop("_sum", "_n")
         joined = sums.join(state, F.col("_s").eqNullSafe(F.col("source")))
         upto = F.col("_base") + F.sum("_sum").over(Window.partitionBy("source").orderBy("_cell"))
         crossed = (
@@ -76,8 +77,7 @@ def _thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
             .select(F.col("source").alias("_s"), "_edge")
         )
         state = stash(
-            state.drop("_sum", "_n")
-            .join(crossed, F.col("source").eqNullSafe(F.col("_s")), "left")
+            state.join(crossed, F.col("source").eqNullSafe(F.col("_s")), "left")
             .select(
                 "source", "source_size", "target", "repeats", "_budget",
                 F.coalesce(F.col("_edge._cell"), F.lit(1 << bits)).alias("_bucket"),

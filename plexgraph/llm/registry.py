@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plexgraph.llm import mixing, packing, sharding
+from plexgraph.llm import mixing, packing, sharding, topk
 
 
 def queries() -> dict:
     return {
+        "op1_topk_search": topk.op1,
         "op2_best_fit_packing": packing.op2,
         "op7_sharding": sharding.op7,
         "op10_source_mix": mixing.op10,
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mix": mixing.ORACLE_SQL}
+    return {"op1_topk_search": topk.ORACLE_SQL, "op10_source_mix": mixing.ORACLE_SQL}
