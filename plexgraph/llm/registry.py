@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plexgraph.llm import mixing, packing, sharding, topk
+from plexgraph.llm import flac, mixing, packing, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk.op1,
         "op2_best_fit_packing": packing.op2,
+        "op6_media_columns": flac.op6,
         "op7_sharding": sharding.op7,
         "op10_source_mix": mixing.op10,
     }
