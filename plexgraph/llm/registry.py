@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plexgraph.llm import flac, mixing, packing, quality, sharding, topk
+from plexgraph.llm import flac, mixing, packing, quality, secrets, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk.op1,
         "op2_best_fit_packing": packing.op2,
+        "op3_secret_scan": secrets.op3,
         "op4_quality_classifier": quality.op4,
         "op6_media_columns": flac.op6,
         "op7_sharding": sharding.op7,
