@@ -39,6 +39,16 @@ def _matrix(column, width: int) -> np.ndarray:
     return out
 
 
+def _packed(column, width: int, code: str) -> np.ndarray:
+    """Packed vectors as rows."""
+    return np.frombuffer(b"".join(column), dtype=code).reshape(len(column), width).astype(np.int64)
+
+
+def _code(most: int) -> str:
+    """The narrowest integers that hold values up to most."""
+    return next(f"<i{n}" for n in (1, 2, 4, 8) if n == 8 or most < 1 << (8 * n - 1))
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products: in floating point where no sum can be rounded, else in integers."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
@@ -47,18 +57,20 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """rows with cell, dist (to the pivot) and norm."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cell int, dist double, norm double"
+def _cells(rows: DataFrame, pivots: np.ndarray, code: str) -> DataFrame:
+    """rows with vec (ints, packed), cell, dist (to the pivot) and norm."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", vec binary, cell int, dist double, norm double"
     width, half = pivots.shape[1], (pivots.astype(np.float64) ** 2).sum(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _matrix(pdf["ints"], width).astype(np.float64)
+            whole = _matrix(pdf["ints"], width)
+            x = whole.astype(np.float64)
             square = (x**2).sum(1)
             d2 = square[:, None] - 2 * (x @ pivots.T.astype(np.float64)) + half
             cell = d2.argmin(1).astype(np.int32)
-            yield pdf.assign(cell=cell, dist=np.sqrt(np.maximum(d2[np.arange(len(x)), cell], 0)) if len(x) else np.zeros(0), norm=np.sqrt(square))
+            dist = np.sqrt(((x - pivots[cell]) ** 2).sum(1)) if len(x) else np.zeros(0)
+            yield pdf.assign(vec=[v.tobytes() for v in whole.astype(code)], cell=cell, dist=dist, norm=np.sqrt(square))
 
     return rows.mapInPandas(run, schema)
 
@@ -97,9 +109,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64,
     """
     spark = vectors.sparkSession
     key = F.xxhash64("ints")
-    width = vectors.agg(F.max(F.size("ints"))).first()[0]
-    if not width:
-        width = 1
+    width, most = vectors.agg(F.max(F.size("ints")), F.max(F.greatest(F.array_max("ints"), -F.array_min("ints")))).first()
+    width, code = width or 1, _code(most or 0)
     keep = k + 1
     # The k+1 smallest ids of each vector: one of them may be the query itself.
     first = Window.partitionBy("ints").orderBy("vec_id")
@@ -120,11 +131,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64,
     x = _matrix([r["ints"] for r in drawn], width)
     centres = _spread(x, min(pivots, max(1, len(x)))) if len(x) else np.zeros((1, width), dtype=np.int64)
 
-    data = stash(_cells(distinct, centres), "knn-cells")
+    data = stash(_cells(distinct, centres, code).drop("ints"), "knn-cells")
     stats = {r["cell"]: (r["r"], r["n"], r["c"]) for r in data.groupBy("cell").agg(F.max("dist").alias("r"), F.max("norm").alias("n"), F.sum(F.size("ids")).alias("c")).collect()}
     # Chunks of queries: distinct query vectors of one cell, dealt by hash into so many that each is small.
-    own = _cells(asked.select("ints").distinct(), centres)
-    own = stash(own, "knn-asked")
+    # As many query cells as chunks are needed, since each vector may be sent to each.
+    unlike = asked.select("ints").distinct()
+    groups = centres[: max(1, -(-unlike.count() // chunk))]
+    own = stash(_cells(unlike, groups, code), "knn-asked")
     per = {r["cell"]: -(-r["c"] // chunk) for r in own.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).collect()}
     if not per:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -134,34 +147,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64,
     many = F.create_map(*[F.lit(v) for c, n in per.items() for v in (c, int(n))])
     own = own.withColumn("chunk", (at[F.col("cell")] + F.pmod(key, many[F.col("cell")])).cast("int"))
     radius = {r["chunk"]: r["r"] for r in own.groupBy("chunk").agg(F.max("dist").alias("r")).collect()}
-    of = np.array([c for c, _ in names])
+    middle = groups[[c for c, _ in names]]
     radii = np.array([radius.get(i, 0.0) for i in range(len(names))])
-    low, upper = _thresholds(centres[of], radii, centres, stats, k + 1)
+    low, upper = _thresholds(middle, radii, centres, stats, k + 1)
     # The sample gives a second bound: k partners in it reach this score with the chunk's worst query.
-    low = np.maximum(low, _sampled(centres[of], radii, x, [r["n"] for r in drawn], k + 1))
-    norms = np.sqrt((centres[of].astype(np.float64) ** 2).sum(1))
+    low = np.maximum(low, _sampled(middle, radii, x, [r["n"] for r in drawn], k + 1))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = _matrix(pdf["ints"], width).astype(np.float64)
-            norm, dist, cell = pdf["norm"].to_numpy(), pdf["dist"].to_numpy(), pdf["cell"].to_numpy()
-            reach = v @ centres[of].T.astype(np.float64) + norm[:, None] * radii
-            by_cell = np.stack([upper[c] for c in cell]) if len(cell) else np.zeros((0, len(of)))
-            where, chunk_no = np.nonzero((reach + 1e-6 * (1 + np.abs(reach)) >= low) & (by_cell + 1e-6 * (1 + np.abs(by_cell)) >= low))
-            yield pd.DataFrame({"chunk": chunk_no.astype(np.int32), "block": pdf["block"].to_numpy()[where], "ints": pdf["ints"].to_numpy()[where], "ids": pdf["ids"].to_numpy()[where]})
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                pdf = whole.iloc[at : at + 500]
+                v = _packed(pdf["vec"], width, code).astype(np.float64)
+                reach = v @ middle.T.astype(np.float64) + pdf["norm"].to_numpy()[:, None] * radii
+                by_cell = np.stack([upper[c] for c in pdf["cell"]])
+                row, chunk_no = np.nonzero((reach + 1e-6 * (1 + np.abs(reach)) >= low) & (by_cell + 1e-6 * (1 + np.abs(by_cell)) >= low))
+                sent_rows = pdf.iloc[row]
+                yield pd.DataFrame({"chunk": chunk_no.astype(np.int32), "block": sent_rows["block"].to_numpy(), "vec": sent_rows["vec"].to_numpy(), "ids": sent_rows["ids"].to_numpy()})
 
     # Blocks bound what one task holds of the vectors sent to a chunk.
     blocks = -(-total // block_rows) or 1
-    sent = data.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")).mapInPandas(route, "chunk int, block int, ints array<bigint>, ids array<bigint>")
+    sent = data.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int")).mapInPandas(route, "chunk int, block int, vec binary, ids array<bigint>")
 
     def solve(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q = _matrix(left["ints"], width)
+        q = _packed(left["vec"], width, code)
         ids = [np.asarray(i, dtype=np.int64) for i in right["ids"]]
         counts = np.array([len(i) for i in ids], dtype=np.int64)
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        v = _matrix(right["ints"], width)
+        v = _packed(right["vec"], width, code)
         rows = []
         for start in range(0, len(q), 64):
             scores = _product(q[start : start + 64], v)
@@ -176,7 +188,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64,
 
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     solved = (
-        own.select("chunk", "ints", each).groupBy("chunk", "block")
+        own.select("chunk", "ints", "vec", each).groupBy("chunk", "block")
         .cogroup(sent.groupBy("chunk", "block"))
         .applyInPandas(solve, "ints array<bigint>, vec_ids array<bigint>, scores array<bigint>")
     )
