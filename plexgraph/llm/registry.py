@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plexgraph.llm import flac, mixing, packing, quality, secrets, sharding, topk
+from plexgraph.llm import flac, minhash, mixing, packing, quality, secrets, sharding, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_best_fit_packing": packing.op2,
         "op3_secret_scan": secrets.op3,
         "op4_quality_classifier": quality.op4,
+        "op5_minhash_dedup": minhash.op5,
         "op6_media_columns": flac.op6,
         "op7_sharding": sharding.op7,
         "op10_source_mix": mixing.op10,
