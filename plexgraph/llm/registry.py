@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plexgraph.llm import flac, minhash, mixing, packing, quality, secrets, sharding, topk
+from plexgraph.llm import flac, licenses, minhash, mixing, packing, quality, secrets, sharding, topk
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op5_minhash_dedup": minhash.op5,
         "op6_media_columns": flac.op6,
         "op7_sharding": sharding.op7,
+        "op9_license_scan": licenses.op9,
         "op10_source_mix": mixing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE_SQL, "op10_source_mix": mixing.ORACLE_SQL}
+    return {"op9_license_scan": licenses.oracle(), "op1_topk_search": topk.ORACLE_SQL, "op10_source_mix": mixing.ORACLE_SQL}
