@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plexgraph.llm.common import table
 
@@ -166,18 +167,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str =
 def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id and score of every row; with keep, the columns of docs and __score."""
 
+    rows = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     columns = docs.columns if keep else ["doc_id"]
+    text_at = docs.columns.index(text_col) if keep else 1
     name = "__score" if keep else "score"
-    rows = docs.select("*", F.col(text_col).alias("__text")) if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     sent = trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(columns))
+            texts = batch.column(text_at)
             x = np.array([statistics(t.as_py()) for t in texts]).reshape(len(texts), len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(sent.score(x))], names=[*columns, name])
 
-    schema = rows.drop("__text").schema.add(name, "double")
+    schema = T.StructType([*rows.schema.fields[: len(columns)], T.StructField(name, T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
