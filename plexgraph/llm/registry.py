@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plexgraph.llm import flac, licenses, minhash, mixing, packing, quality, secrets, sharding, topk
+from plexgraph.llm import flac, licenses, minhash, mixing, packing, quality, secrets, sharding, suffix_dedup, topk
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_minhash_dedup": minhash.op5,
         "op6_media_columns": flac.op6,
         "op7_sharding": sharding.op7,
+        "op8_suffix_dedup": suffix_dedup.op8,
         "op9_license_scan": licenses.op9,
         "op10_source_mix": mixing.op10,
     }
