@@ -1,4 +1,8 @@
-"""Connected components of a graph of links, by union-find in partitions and alternating stars between them."""
+"""Connected components of a graph of links, by union-find.
+
+Each partition reduces its links to a forest. If the forests together are small, which is checked, one task joins them;
+otherwise alternating stars do, as DataFrame joins.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,10 @@ from pyspark.sql import functions as F
 from plexgraph.llm.common import stash
 
 
+#: Links, after each partition has reduced its own to a forest, that one task may join.
+IN_ONE_TASK = 200_000
+
+
 class UnionFind:
     """Disjoint sets whose root is their least member."""
 
@@ -45,11 +53,20 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def _rooted(links: DataFrame) -> DataFrame:
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """links: (a, b), longs. (node, root) for every linked node, root being the least node of its component."""
     links = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # `a` is the larger end from here on.
-    links = stash(links.mapInPandas(_forest, "a long, b long").distinct(), "links")
+    links = stash(links.mapInPandas(_forest, "a long, b long"), "links")
+    if links.count() <= in_one_task:
+        links = stash(links.coalesce(1).mapInPandas(_forest, "a long, b long"), "links")
+        return _rooted(links)
+    links = stash(links.distinct(), "links")
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -61,4 +78,4 @@ def components(links: DataFrame) -> DataFrame:
         before, state = state, _state(links)
         if state == before:
             break
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return _rooted(links)

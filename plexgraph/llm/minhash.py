@@ -8,8 +8,10 @@ of a batch take their j-th step together in numpy.
 
 Nodes that share a band are candidates. Instead of all pairs of a bucket, each round verifies its nodes against one
 leader; nodes that are linked form components; buckets that still hold several components get another leader. What is
-left after the rounds, pairs across components of one bucket, is verified pair by pair, so no link between different
-texts is lost that banding finds: with 42 bands of 6 rows a pair at 0.8 is missed with probability 3e-6.
+left after the rounds is verified across components, block against block, in tasks of bounded size that emit links
+only: every node outside the largest component of its bucket against all of the bucket, or of all buckets that hang
+together where that is less work. So no link between different texts is lost that banding finds: with 42 bands of 6
+rows a pair at 0.8 is missed with probability 3e-6.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexgraph.llm.common import stash, table
-from plexgraph.llm.components import components
+from plexgraph.llm.components import UnionFind, components
 
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS  # at most 256: slot numbers are bytes, ranks have 8 bits for the step
-LEADERS = 3
+LEADERS = 1
+#: What one side of a block holds at most: nodes, and shingles unless one document has more.
+BLOCK_NODES, BLOCK_ITEMS = 512, 200_000
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -190,6 +195,81 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").filter(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
 
+def overlaps(one: list[np.ndarray], two: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one with all of two, by products of incidence matrices over the
+    elements that both sides hold."""
+    out = np.zeros((len(one), len(two)), dtype=np.int64)
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (one, two)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for items, row in sides:
+        at = np.searchsorted(both, items)
+        ok = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == items) if len(both) else np.zeros(len(items), dtype=bool)
+        order = np.argsort(at[ok], kind="stable")
+        placed.append((at[ok][order], row[ok][order]))
+    for first in range(0, len(both), wide):
+        grids = []
+        for (at, row), s in zip(placed, (one, two)):
+            lo, hi = np.searchsorted(at, [first, first + wide])
+            g = np.zeros((len(s), wide), dtype=np.float32)
+            g[row[lo:hi], at[lo:hi] - first] = 1
+            grids.append(g)
+        out += (grids[0] @ grids[1].T).astype(np.int64)
+    return out
+
+
+def _across(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of different components. known: (key, node, n, root), buckets with several components.
+
+    A cell is a bucket or, where that is less work, all buckets that hang together. In each cell the nodes outside its
+    largest component meet all its nodes, in blocks.
+    """
+    star = known.join(stash(known.groupBy("key").agg(F.min("node").alias("first")), "dup-first"), "key")
+    hang = components(star.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    placed = stash(known.join(hang.select("node", F.col("root").alias("group")), "node"), "dup-placed")
+
+    def sized(rows: DataFrame, keys: list[str]) -> DataFrame:
+        one = rows.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        whole = one.groupBy(*keys).agg(F.sum("c").alias("na"), F.sum("s").alias("sa"), F.max(F.struct("c", "root", "s")).alias("top"))
+        return whole.select(*keys, "na", "sa", (F.col("na") - F.col("top.c")).alias("nu"), (F.col("sa") - F.col("top.s")).alias("su"), F.col("top.root").alias("top"))
+
+    whole = placed.select("group", "node", "n", "root").distinct()
+    of_group, of_key = stash(sized(whole, ["group"]), "dup-cells"), stash(sized(placed, ["group", "key"]), "dup-cells")
+    cost = of_key.groupBy("group").agg(F.sum(F.col("na") * F.col("nu")).alias("_split"))
+    chosen = of_group.join(cost, "group").select("group", (F.col("na") * F.col("nu") <= F.col("_split")).alias("_whole"))
+    chosen = stash(chosen, "dup-chosen")
+    one = whole.join(of_group.join(chosen.filter("_whole"), "group").drop("_whole"), "group").withColumn("cell", F.xxhash64("group")).drop("group")
+    two = placed.join(of_key.join(chosen.filter("NOT _whole"), "group").drop("_whole"), ["group", "key"]).withColumn("cell", F.col("key")).drop("group", "key")
+
+    def blocks(nodes: str, items: str):
+        return F.greatest(F.ceil(F.col(items) / BLOCK_ITEMS), F.ceil(F.col(nodes) / BLOCK_NODES), F.lit(1)).cast("int")
+
+    cells = one.unionByName(two.select(one.columns)).filter("nu > 0").withColumns({"_a": blocks("na", "sa"), "_u": blocks("nu", "su")})
+    h = F.xxhash64("node")
+    every = cells.select("cell", "node", "root", F.pmod(h, F.col("_a")).cast("int").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("_u") - 1)).alias("ub"), F.lit(False).alias("asks"))
+    asks = cells.filter(F.col("root") != F.col("top")).select("cell", "node", "root", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)).alias("ab"), F.pmod(h, F.col("_u")).cast("int").alias("ub"), F.lit(True).alias("asks"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, a = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        rows = []
+        if len(u) and len(a):
+            x, y = list(u["items"]), list(a["items"])
+            both = overlaps(x, y)
+            nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+            alike = 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+            alike &= u["root"].to_numpy()[:, None] != a["root"].to_numpy()[None, :]
+            sets_ = UnionFind()
+            un, an, ur, ar = (c.tolist() for c in (u["node"], a["node"], u["root"], a["root"]))
+            for i, j in np.argwhere(alike).tolist():
+                # One link for each two components that meet here is enough.
+                if sets_.find(ur[i]) != sets_.find(ar[j]):
+                    sets_.union(ur[i], ar[j])
+                    rows.append((min(un[i], an[j]), max(un[i], an[j])))
+        return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+
+    return every.unionByName(asks).join(sets, "node").groupBy("cell", "ub", "ab").applyInPandas(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable over links) and kept (doc_id = component_id) of every row.
 
@@ -225,17 +305,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         split = stash(split.select("key", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.root").alias("lead_root")), "dup-split")
         if split.isEmpty():
             break
-        members = stash(known.join(split.select("key"), "key", "left_semi").drop("root"), "dup-members")
+        known = stash(known.join(split, "key"), "dup-members")
+        members = known.select("key", "node", "n")
         if turn < LEADERS:
-            new = known.join(split, "key").filter((F.col("root") != F.col("lead_root")) & alike)
-            new = new.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            new = known.filter((F.col("root") != F.col("lead_root")) & alike).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            new = stash(new.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
+            tested = tested.unionByName(new)
+            more = stash(_verified(new, sets, percent), "dup-links")
         else:
-            one, two = (known.join(split.select("key"), "key", "left_semi").select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
-            near = percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
-            new = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & near).select("a", "b").distinct()
-        new = stash(new.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
-        more = stash(_verified(new, sets, percent), "dup-links")
-        tested = tested.unionByName(new)
+            more = stash(_across(known.select("key", "node", "n", "root"), sets, percent), "dup-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             groups = components(links)
