@@ -148,6 +148,22 @@ def reach(seeds: DataFrame, edges: DataFrame, reverse: bool = False, one_task: i
     return seen
 
 
+def reach_pairs(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, node, depth): every node that a walk of one edge or more reaches from each start, at its least depth.
+    Each step keeps new pairs only, so cycles end. seeds: (start)."""
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("__next")).distinct()
+    front, seen, depth = seeds.select("start", F.col("start").alias("node")), None, 0
+    while True:
+        depth += 1
+        new = front.join(step, "node").select("start", F.col("__next").alias("node")).distinct()
+        if seen is not None:
+            new = new.join(seen, ["start", "node"], "left_anti")
+        front = stash(new.withColumn("depth", F.lit(depth).cast("long")), "pairs")
+        seen = front if seen is None else seen.unionByName(front)
+        if front.isEmpty():
+            return seen
+
+
 def quota(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """The first `most` rows of each kind: a window rank, pruned before the shuffle."""
     w = Window.partitionBy(by).orderBy(order)
