@@ -160,6 +160,7 @@ class _Prefixes:
                 t = table[k]
                 out[again[which]] = np.minimum(t[lo[which]], t[hi[which] - (1 << k) + 1])
         first = np.flatnonzero(fresh)
+        s = s.astype(np.int64)
         before = self.pushed[s[first]]
         old = np.searchsorted(self.latest, before, side="right")
         out[first] = np.minimum(old, np.minimum.accumulate(prefixes)[j[first]] if m else 0)
@@ -193,18 +194,35 @@ def _types(text: np.ndarray, wide: int) -> np.ndarray:
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of suffixes a and b, up to depth."""
-    n = len(text)
+    """Common prefixes of suffixes a and b, up to depth. Symbols are compared 8 bytes at a time; near the end of the
+    text one by one."""
+    n, size = len(text), text.dtype.itemsize
+    step = 8 // size
     out = np.zeros(len(a), dtype=np.int64)
     live = np.arange(len(a))
-    step = 8
-    offsets = np.arange(step)
+    if n > 2 * step:
+        words = np.ndarray(shape=(n - step + 1,), dtype="<u8", buffer=text, strides=(size,))
+        ends = np.zeros(0, dtype=np.int64)
+        while len(live):
+            x, y = a[live] + out[live], b[live] + out[live]
+            inside = np.maximum(x, y) <= n - step
+            ends = np.concatenate([ends, live[~inside]])
+            live, x, y = live[inside], x[inside], y[inside]
+            odd = words[x] ^ words[y]
+            same = odd == 0
+            # The lowest bit that differs tells how many symbols agree.
+            low = (odd & (~odd + np.uint64(1))).astype(np.float64)
+            run = np.where(same, step, (np.frexp(low)[1] - 1) // (8 * size))
+            out[live] += run
+            live = live[same & (out[live] < depth)]
+        live = ends[out[ends] < depth]
     while len(live):
-        x, y = a[live][:, None] + out[live][:, None] + offsets, b[live][:, None] + out[live][:, None] + offsets
-        same = (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]) & (x < n) & (y < n)
-        run = np.where(same.all(1), step, same.argmin(1))
-        out[live] += run
-        live = live[(run == step) & (out[live] < depth)]
+        x, y = a[live] + out[live], b[live] + out[live]
+        same = (x < n) & (y < n)
+        same[same] = text[x[same]] == text[y[same]]
+        live = live[same]
+        out[live] += 1
+        live = live[out[live] < depth]
     return np.minimum(out, depth)
 
 
@@ -212,12 +230,12 @@ def _in_memory(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of a small string by doubling, exact to depth."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order, h = np.argsort(rank, kind="stable"), 1
+    h = 1
     while True:
         later = np.zeros(n, dtype=np.int64)
         later[: n - h] = rank[h:] + 1
         key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys stay equal ranks, so their order does not matter
         k = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
@@ -256,7 +274,7 @@ def _named(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, memory: int)
         ids = np.flatnonzero(part == r)
         if not len(ids):
             continue
-        ids = ids[np.argsort(firsts[ids], kind="stable")]
+        ids = ids[np.argsort(firsts[ids])]
         f = firsts[ids]
         group = np.concatenate([[0], np.cumsum(f[1:] != f[:-1])])
         offset = per
@@ -326,7 +344,7 @@ def suffix_order(text: np.ndarray, depth: int, folder: str, memory: int = 4_000_
         before = pos - 1
         ok = np.flatnonzero((pos > 0) & (rises[np.maximum(before, 0)] == want))
         p = before[ok]
-        s = text[p].astype(np.int64)
+        s = text[p]  # narrow symbols sort by radix
         queue.push(s, p, prefixes.step(pre, ok, s))
 
     while True:

@@ -3,7 +3,7 @@
 Each 100-byte string is routed by its anchor, the 32 bytes in it whose hash is least; strings with one anchor form a
 segment, about 134 bytes for 35 strings. Equal strings have equal anchors, so they meet, and anchors that occur in one
 text only, once, need no further look: a first pass counts anchors, a second one emits the segments of the rest, past a
-filter of bounded size. Equal segments leave their earliest occurrence. Where an anchor stands in very many different
+filter of bounded size. Equal segments leave their earliest occurrence. Where an anchor stands in many different
 segments, its segments are halved, and each half routed by the longer context that its strings share, until no group is
 large. Then each shard's suffixes are sorted by external induction (see induced.py); neighbours that share 100 bytes are
 equal strings, and all but the earliest are marked.
@@ -32,8 +32,8 @@ WINDOW = LENGTH - GRAM + 1
 #: Bits of the filter of repeated anchors at most; more anchors take more passes over the texts.
 FILTER_BITS = 1 << 27
 #: Different segments of one anchor beyond which they are routed by longer contexts.
-HOT = 2000
-SHARD_BYTES = 32 << 20
+HOT = 100
+SHARD_BYTES = 4 << 20
 _PIECE = 1 << 20  # positions in a buffer have 20 bits
 _U = np.uint64
 LAST = (1 << 63) - 1
