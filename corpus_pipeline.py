@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexgraph.llm import minhash, mixing, packing, quality, secrets
-from plexgraph.llm.common import stash, table
+from plexgraph.llm.common import stash, table, unused
 from plexgraph.session import ship
 
 #: Documents that score less are rejected.
@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that the classifier rejects. It is trained on the labels of sf_dir."""
     ship(spark)
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, trees, keep=True)
-    return scored.filter(F.col("__score") >= QUALITY).drop("__score")
+    name = unused(docs, "__score")
+    return quality.score(docs, trees, keep=name).filter(F.col(name) >= QUALITY).drop(name)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

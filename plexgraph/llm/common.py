@@ -44,6 +44,14 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pick(splitters: list, leaf, below) -> Column:
     """A balanced tree of comparisons: leaf(i) where i counts the splitters at or below the row.
 

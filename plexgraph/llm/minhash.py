@@ -94,7 +94,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
         if n == 0:
             out.append(w)
         elif n < k:
-            out.append(mixed((w * _FACTOR[:n]).sum(keepdims=True, dtype=np.uint64) + _U(n) * _FACTOR[63]))
+            out.append(mixed((w * _FACTOR[:n]).sum(keepdims=True, dtype=np.uint64) + np.full(1, n, np.uint64) * _FACTOR[63]))
         else:
             total = w[: n - k + 1] * _FACTOR[0]
             for j in range(1, k):

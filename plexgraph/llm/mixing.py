@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import WORD, stash, table
+from plexgraph.llm.common import WORD, stash, table, unused
 
 HASH_BITS = 52
 LEVELS = (13, 26, 39, 52)
@@ -137,12 +137,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         "mix-sizes",
     )
     sources = stash(source_targets(sized), "mix-targets")
-    cuts = stash(_thresholds(sized, sources).select(F.col("source").alias("__source"), F.col("repeats").alias("__repeats"), F.col("_cut").alias("__cut")), "mix-cuts")
+    of, repeats, cut, again = (unused(docs, n) for n in ("__source", "__repeats", "__cut", "__again"))
+    cuts = stash(_thresholds(sized, sources).select(F.col("source").alias(of), F.col("repeats").alias(repeats), F.col("_cut").alias(cut)), "mix-cuts")
     few = cuts.count() <= BROADCAST_SOURCES
-    copies = F.col("__repeats") + (hashed < F.col("__cut")).cast("long")
-    out = docs.join(F.broadcast(cuts) if few else cuts, docs["source"].eqNullSafe(F.col("__source")))
-    again = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))
-    return out.withColumn("__again", F.explode(again)).select(*[docs[c] for c in docs.columns])
+    copies = F.col(repeats) + (hashed < F.col(cut)).cast("long")
+    out = docs.join(F.broadcast(cuts) if few else cuts, docs["source"].eqNullSafe(F.col(of)))
+    each = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))
+    return out.withColumn(again, F.explode(each)).select(*[docs[c] for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

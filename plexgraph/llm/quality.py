@@ -164,13 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str =
     return fit(x, np.array([r[1] for r in got], dtype=np.float64), **how)
 
 
-def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id and score of every row; with keep, the columns of docs and __score."""
+def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """doc_id and score of every row; with keep, the columns of docs and one of that name with the score."""
 
     rows = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     columns = docs.columns if keep else ["doc_id"]
     text_at = docs.columns.index(text_col) if keep else 1
-    name = "__score" if keep else "score"
+    name = keep or "score"
     sent = trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

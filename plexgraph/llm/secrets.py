@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import table
+from plexgraph.llm.common import table, unused
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -165,12 +165,13 @@ def redact(docs: DataFrame, weights: list[float], margin: float = MARGIN, mark:
             F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         )
 
-    walked = F.aggregate("__spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    hit = docs.withColumn("__spans", every)
-    out = hit.withColumn("text", F.when(F.size("__spans") > 0, walked).otherwise(F.col("text")))
+    name = unused(docs, "__spans")
+    walked = F.aggregate(name, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    hit = docs.withColumn(name, every)
+    out = hit.withColumn("text", F.when(F.size(name) > 0, walked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(name)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
