@@ -148,9 +148,33 @@ def reach(seeds: DataFrame, edges: DataFrame, reverse: bool = False, one_task: i
     return seen
 
 
-def reach_pairs(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def _search_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Breadth-first search from each start, in one task."""
+    nxt: dict[str, list[str]] = {}
+    starts: list[str] = []
+    for pdf in batches:
+        e = pdf.dropna()
+        for a, b in zip(e["src"].tolist(), e["dst"].tolist()):
+            nxt.setdefault(a, []).append(b)
+        starts += pdf.loc[pdf["dst"].isna(), "src"].tolist()
+    for s in starts:
+        seen, front, depth = {}, [s], 0
+        while front:
+            depth += 1
+            new = [b for b in dict.fromkeys(b for a in front for b in nxt.get(a, ())) if b not in seen]
+            seen |= dict.fromkeys(new, depth)
+            front = new
+        yield pd.DataFrame({"start": s, "node": list(seen), "depth": list(seen.values())}).astype({"depth": "int64", "start": "str", "node": "str"})
+
+
+def reach_pairs(seeds: DataFrame, edges: DataFrame, one_task: int = ONE_TASK_EDGES, few: int = 100) -> DataFrame:
     """(start, node, depth): every node that a walk of one edge or more reaches from each start, at its least depth.
-    Each step keeps new pairs only, so cycles end. seeds: (start)."""
+    Few starts over edges of a checked size are searched in one task; else each step keeps new pairs only, so cycles
+    end. seeds: (start)."""
+    text = dict(edges.dtypes)["src"] == "string"
+    if text and seeds.count() <= few and edges.count() <= one_task:
+        asked = seeds.select(F.col("start").alias("src"), F.lit(None).cast("string").alias("dst"))
+        return edges.select("src", "dst").distinct().unionByName(asked).coalesce(1).mapInPandas(_search_pairs, "start string, node string, depth long")
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("__next")).distinct()
     front, seen, depth = seeds.select("start", F.col("start").alias("node")), None, 0
     while True:
@@ -196,13 +220,14 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, group: str, point: s
 
 
 def nearest_after(left: DataFrame, right: DataFrame, group: list[str], at: str, most, right_id: str) -> DataFrame:
-    """left with right_id, the first row of right in the same group that follows within `most` (null if none).
+    """left with right_id, the first row of right in the same group at the same place or within `most` after it
+    (null if none).
 
     One sorted window over both sides instead of a join: the next right row is carried backwards.
     """
     r = right.select(*group, F.col(at), F.struct(F.col(at).alias("a"), F.col(right_id).alias("i")).alias("__r"), F.lit(1).alias("__side"))
     both = left.withColumn("__r", F.lit(None).cast(r.schema["__r"].dataType)).withColumn("__side", F.lit(0)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*group).orderBy(F.col(at).desc(), F.col("__side"), F.col("__r.i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*group).orderBy(F.col(at).desc(), F.col("__side").desc(), F.col("__r.i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = both.withColumn("__next", F.last("__r", ignorenulls=True).over(w)).filter("__side = 0")
     near = F.when(F.col("__next.a") - F.col(at) <= most, F.col("__next.i"))
     return carried.withColumn(right_id, near).drop("__r", "__side", "__next")
