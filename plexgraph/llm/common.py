@@ -37,10 +37,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/plexgraph/{what}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
+def stash(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -40,15 +40,15 @@ LAST = (1 << 63) - 1
 
 
 def _buffers(raws: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Pieces (document, offset, bytes) in buffers of less than 2**20 bytes. A long document's pieces overlap, so that
+    """Pieces (document, offset, bytes) in buffers of less than 2**19 bytes. A long document's pieces overlap, so that
     each string lies in one piece."""
     held, size = [], 0
     for k, raw in enumerate(raws):
         if len(raw) < LENGTH:
             continue
-        for at in range(0, len(raw) - LENGTH + 1, _PIECE // 2):
-            part = raw[at : at + _PIECE // 2 + LENGTH - 1]
-            if size + len(part) >= _PIECE:
+        for at in range(0, len(raw) - LENGTH + 1, _PIECE // 4):
+            part = raw[at : at + _PIECE // 4 + LENGTH - 1]
+            if size + len(part) >= _PIECE // 2:
                 yield held
                 held, size = [], 0
             held.append((k, at, part))
@@ -90,7 +90,7 @@ def segments(raws: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield doc, first + shift, count, anchor[first] - first, grams[anchor[first]].view(np.int64)
 
 
-def _groups(batch: pa.RecordBatch, text_at: int, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _groups(batch: pa.RecordBatch, text_at: int, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     start, held, raws = 0, 0, []
     for i, t in enumerate(batch.column(text_at)):
         raws.append((t.as_py() or "").encode("utf-8"))
@@ -300,7 +300,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for turn in range(passes):
             mine = repeated.filter(F.shiftrightunsigned("anchor", 56) % passes == turn)
             sent = spark.sparkContext.broadcast(_filter(mine, bits))
-            parts.append(stash(_emit(one, sent, bits, passes, turn), "rep-segments"))
+            parts.append(stash(_emit(one, sent, bits, passes, turn), "rep-segments", "zstd"))
             sent.unpersist()
         found = parts[0]
         for p in parts[1:]:
@@ -310,12 +310,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         while True:
             copies, kept = _earliest(found)
             marks.append(copies)
-            kept = stash(kept, "rep-kinds")
+            kept = stash(kept, "rep-kinds", "zstd")
             cold.append(kept.filter((F.col("kinds") <= hot) | (F.col("lo") == F.col("hi"))).select("key", "ord", "dg", "s", "seg"))
             large = kept.filter((F.col("kinds") > hot) & (F.col("lo") < F.col("hi"))).drop("kinds")
             if large.isEmpty():
                 break
-            found = stash(_halved(large), "rep-segments")
+            found = stash(_halved(large), "rep-segments", "zstd")
         shard_rows = cold[0]
         for c in cold[1:]:
             shard_rows = shard_rows.unionByName(c)
