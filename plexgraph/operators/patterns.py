@@ -212,11 +212,13 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, group: str, point: s
     s = spans.select(F.col(group).alias("__g"), F.col(low).cast("long").alias("__lo"), F.col(high).cast("long").alias("__hi"), F.col(span_id).alias("__id"), level.alias("__level"))
     s = s.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__lo") / wide), F.floor(F.col("__hi") / wide))))
     levels = s.select("__g", "__level").distinct()
-    p = points.withColumn("__row", F.monotonically_increasing_id())
-    asked = p.select("__row", F.col(group).alias("__g"), F.col(point).cast("long").alias("__p")).join(levels, "__g").withColumn("__cell", F.floor(F.col("__p") / wide))
+    # Looked up once for each place, however many points stand there.
+    places = points.select(F.col(group).alias("__g"), F.col(point).cast("long").alias("__p")).distinct()
+    asked = places.join(levels, "__g").withColumn("__cell", F.floor(F.col("__p") / wide))
     hit = asked.join(s, ["__g", "__level", "__cell"]).filter((F.col("__lo") <= F.col("__p")) & (F.col("__p") <= F.col("__hi")))
-    best = hit.groupBy("__row").agg(F.min(F.struct((F.col("__hi") - F.col("__lo")).alias("n"), "__lo", "__id")).alias("__best"))
-    return p.join(best, "__row", "left").withColumn(span_id, F.col("__best.__id")).drop("__row", "__best")
+    best = hit.groupBy("__g", "__p").agg(F.min(F.struct((F.col("__hi") - F.col("__lo")).alias("n"), "__lo", "__id")).alias("__best"))
+    at = (F.col(group) == F.col("__g")) & (F.col(point) == F.col("__p"))
+    return points.join(best, at, "left").withColumn(span_id, F.col("__best.__id")).drop("__g", "__p", "__best")
 
 
 def nearest_after(left: DataFrame, right: DataFrame, group: list[str], at: str, most, right_id: str) -> DataFrame:

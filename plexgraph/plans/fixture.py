@@ -40,7 +40,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphCatalog:
 
     def imports() -> DataFrame:
         s = t("supplier").select(F.col("s_suppkey").alias("src"))
-        return s.crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))).select("src", ((F.col("src") * 3 + 1) % F.col("n")).alias("dst"))
+        return s.select("src", ((F.col("src") * 3 + 1) % F.lit(s.count())).alias("dst"))
 
     g.add_rel("CALLS", "Part", "Part", calls)
     g.add_rel("INHERITS", "Part", "Part", lambda: t("part").filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst")))

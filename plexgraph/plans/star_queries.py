@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plexgraph.functions import text as X
 from plexgraph.operators import patterns as P
+from plexgraph.operators import view as V
 from plexgraph.plans.fixture import star_graph
 
 QUERIES: dict = {}
@@ -353,11 +354,39 @@ def graph_export_edges(spark, sf):
 
 @query("client_filter", "SELECT label, id, name FROM nodes WHERE lower(label) IN ('part', 'supplier') AND contains(lower(name), 'widget')", "nodes")
 def client_filter(spark, sf):
-    g = star_graph(spark, sf)
-    rows = g.any_node(["Part", "Supplier"]).filter(F.lower("name").contains("widget"))
+    rows = V.filtered(star_graph(spark, sf).any_node(["Part", "Supplier"]), ("PART", "Supplier"), "Widget", kind="label")
     return rows.select("label", F.split_part("gid", F.lit(":"), F.lit(2)).cast("long").alias("id"), "name")
 
 
+@query("view_neighbours", "SELECT src, dst, CAST(line_number AS BIGINT) AS line_number FROM calls WHERE src = 223 OR dst = 223", "calls")
+def view_neighbours(spark, sf):
+    return V.neighbours(star_graph(spark, sf).edges("CALLS"), 223)
+
+
+@query("view_labels", "SELECT label, id, CASE WHEN length(name) > 15 THEN left(name, 12) || '...' ELSE name END AS short FROM nodes", "nodes")
+def view_labels(spark, sf):
+    rows = star_graph(spark, sf).any_node()
+    return rows.select("label", F.split_part("gid", F.lit(":"), F.lit(2)).cast("long").alias("id"), V.short_label(F.col("name")).alias("short"))
+
+
+@query("view_edge_labels", "SELECT CASE WHEN contains(t, '_CONTAINS_') THEN 'contains' ELSE lower(t) END AS label, count(*) AS n FROM (SELECT t FROM contains UNION ALL SELECT 'CALLS' FROM calls) x GROUP BY 1", "contains calls")
+def view_edge_labels(spark, sf):
+    g = star_graph(spark, sf)
+    rows = g.any_edge("CONTAINS").unionByName(g.any_edge("CALLS"))
+    return rows.groupBy(V.relation_label(F.col("rel_type")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("view_bounds", "SELECT CAST(min(p_size) AS BIGINT) AS min_x, CAST(max(p_size) AS BIGINT) AS max_x, min(p_retailprice) AS min_y, max(p_retailprice) AS max_y FROM part")
+def view_bounds(spark, sf):
+    return V.bounds(star_graph(spark, sf).node("Part"), "size", "price")
+
+
+@query("view_window", ", box AS (SELECT p_partkey AS id FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 920 AND 960) SELECT src, dst, CAST(line_number AS BIGINT) AS line_number FROM calls WHERE src IN (SELECT id FROM box) OR dst IN (SELECT id FROM box)", "calls")
+def view_window(spark, sf):
+    g = star_graph(spark, sf)
+    return V.in_window(g.node("Part"), g.edges("CALLS"), (10, 920, 20, 960), x="size", y="price")[1]
+
+
 @query("delete_detach", "SELECT src, dst, count(*) AS n FROM calls WHERE src NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) AND dst NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) GROUP BY 1, 2", "calls")
 def delete_detach(spark, sf):
     g = star_graph(spark, sf)

@@ -109,3 +109,16 @@ def test_discovery_rules(spark):
     out = {"node_modules/a.js": True, "a/.git/x": True, "a/lib/b.py": True, "liberty.py": False, "a/b.pyc": True, "x.min.js": True, "a/b.py": False}
     df = spark.createDataFrame([(p,) for p in out], "p string")
     assert {r.p: r.e for r in df.select("p", excluded(df.p).alias("e")).collect()} == out
+
+
+def test_views(spark):
+    from plexgraph.operators import view as V
+
+    nodes = spark.createDataFrame([(1, "File", 0.0, 0.0), (2, "Variable", 5.0, 5.0), (3, "Function", 9.0, 9.0)], "id long, type string, x double, y double")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "src long, dst long")
+    assert [r.id for r in V.level_of_detail(nodes, 0.1).collect()] == [1]
+    assert {r.id: r.dimmed for r in V.level_of_detail(nodes, 0.5).collect()} == {1: False, 2: True, 3: False}
+    assert not any(r.dimmed for r in V.level_of_detail(nodes, 0.9).collect())
+    seen, kept = V.in_window(nodes, edges, (-1, -1, 6, 6))
+    assert {r.id for r in seen.collect()} == {1, 2} and sorted(map(tuple, kept.collect())) == [(1, 2), (2, 3)]
+    assert V.neighbours(edges, 3).count() == 2
