@@ -8,7 +8,8 @@ import posixpath
 from plexgraph.parsers.records import Entity, Parsed, file_entity
 
 #: Nodes that add a path through a function.
-_BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith)
+_BRANCHES = frozenset((ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith))
+_LEAVES = frozenset((ast.Name, ast.Constant, ast.Load, ast.Store, ast.Pass, ast.Import, ast.ImportFrom))
 
 
 def dotted(node: ast.AST | None) -> str:
@@ -22,9 +23,28 @@ def dotted(node: ast.AST | None) -> str:
     return ".".join(reversed([*parts, node.id]))
 
 
-def complexity(node: ast.AST) -> int:
-    """1, one more for each branching node below, and one for each further operand of and / or."""
-    return 1 + sum(1 if isinstance(n, _BRANCHES) else len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0 for n in ast.walk(node))
+def measured(node: ast.AST) -> tuple[int, bool]:
+    """Complexity of a function, and whether it yields, in one walk. Complexity: 1, one more for each branching node
+    below, and one for each further operand of and / or."""
+    total, yields, todo = 1, False, [node]
+    while todo:
+        n = todo.pop()
+        kind = n.__class__
+        if kind in _BRANCHES:
+            total += 1
+        elif kind is ast.BoolOp:
+            total += len(n.values) - 1
+        elif kind is ast.Yield or kind is ast.YieldFrom:
+            yields = True
+        elif kind in _LEAVES:
+            continue
+        for name in n._fields:
+            value = getattr(n, name, None)
+            if isinstance(value, list):
+                todo += [x for x in value if isinstance(x, ast.AST)]
+            elif isinstance(value, ast.AST):
+                todo.append(value)
+    return total, yields
 
 
 def signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
@@ -83,10 +103,11 @@ class _Visitor(ast.NodeVisitor):
 
     def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
         marks = [d for d in map(dotted, node.decorator_list) if d]
+        complexity, yields = measured(node)
         f = self.out.entity(
             node.name, "Function", node.lineno, node.end_lineno or node.lineno, self.scope,
-            docstring=_doc(node), signature=signature(node), return_type=dotted(node.returns), complexity=complexity(node),
-            is_async=isinstance(node, ast.AsyncFunctionDef), is_generator=any(isinstance(n, (ast.Yield, ast.YieldFrom)) for n in ast.walk(node)),
+            docstring=_doc(node), signature=signature(node), return_type=dotted(node.returns), complexity=complexity,
+            is_async=isinstance(node, ast.AsyncFunctionDef), is_generator=yields,
             is_property="property" in marks, is_staticmethod="staticmethod" in marks, is_classmethod="classmethod" in marks,
             file_id=self.file.id, module_id=self.module.id, class_id=self.classes[-1].id if self.classes else None,
         )
