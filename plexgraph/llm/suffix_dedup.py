@@ -164,17 +164,16 @@ def _emit(own: DataFrame, sent, bits: int, passes: int, turn: int) -> DataFrame:
 
 
 def _earliest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Marks of all occurrences of equal segments but the earliest; and the earliest ones of keys with several kinds."""
+    """Marks of all occurrences of equal segments but the earliest; and the earliest ones of keys with several kinds.
+    uid, which is stored with the rows, tells rows of one place apart (repeated rows of the input)."""
     rows = rows.withColumn("kind", F.xxhash64("seg", "off"))
-    place = F.struct("ord", "dg", "s")
-    first = stash(rows.groupBy("key", "kind").agg(F.min(place).alias("first")), "rep-first")
+    first = stash(rows.groupBy("key", "kind").agg(F.min(F.struct("ord", "dg", "s", "uid")).alias("first")), "rep-first")
     several = first.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     several = stash(several, "rep-keys")
-    copies = rows.select("key", "kind", "ord", "dg", "s", "w").join(first, ["key", "kind"]).filter(place != F.col("first"))
+    copies = rows.select("key", "kind", "ord", "dg", "s", "w").join(first, ["key", "kind"]).filter(F.struct("ord", "dg", "s") != F.struct("first.ord", "first.dg", "first.s"))
     marks = copies.select("ord", "dg", F.col("s").alias("lo"), (F.col("s") + F.col("w") + (LENGTH - 1)).alias("hi"))
-    flat = first.join(several, "key").select("key", "kind", "kinds", "first.ord", "first.dg", "first.s")
-    kept = rows.join(flat, ["key", "kind", "ord", "dg", "s"]).drop("kind").dropDuplicates(["key", "ord", "dg", "s"])
-    return marks, kept
+    flat = first.join(several, "key").select("key", "kind", "kinds", "first.uid")
+    return marks, rows.join(flat, ["key", "kind", "uid"]).drop("kind")
 
 
 def _halved(rows: DataFrame) -> DataFrame:
@@ -182,14 +181,14 @@ def _halved(rows: DataFrame) -> DataFrame:
     the bytes that all strings of its half share."""
     mid = F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int")
     halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), (mid - 1).alias("hi")), F.struct(mid.alias("lo"), F.col("hi").alias("hi")))).alias("_h")
-    out = rows.select("key", "off", "w", "ord", "dg", "s", "seg", halves)
+    out = rows.select("key", "off", "w", "ord", "dg", "s", "uid", "seg", halves)
     start = F.greatest(F.lit(0), F.col("off") - F.col("_h.hi"))
     end = F.least(F.col("w") - 1, F.col("off") - F.col("_h.lo"))
     out = out.withColumns({"_i": start, "_j": end, "lo": F.col("_h.lo"), "hi": F.col("_h.hi")}).filter("_i <= _j")
     shared = F.substring(F.col("seg"), F.col("off") - F.col("lo") + 1, LENGTH - F.col("hi") + F.col("lo"))
     return out.select(
         F.xxhash64("key", "lo", "hi", shared).alias("key"), (F.col("off") - F.col("_i")).alias("off"), (F.col("_j") - F.col("_i") + 1).alias("w"), "ord", "dg",
-        (F.col("s") + F.col("_i")).alias("s"), F.substring(F.col("seg"), F.col("_i") + 1, F.col("_j") - F.col("_i") + LENGTH).alias("seg"), "lo", "hi",
+        (F.col("s") + F.col("_i")).alias("s"), "uid", F.substring(F.col("seg"), F.col("_i") + 1, F.col("_j") - F.col("_i") + LENGTH).alias("seg"), "lo", "hi",
     )
 
 
@@ -300,7 +299,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for turn in range(passes):
             mine = repeated.filter(F.shiftrightunsigned("anchor", 56) % passes == turn)
             sent = spark.sparkContext.broadcast(_filter(mine, bits))
-            parts.append(stash(_emit(one, sent, bits, passes, turn), "rep-segments", "zstd"))
+            parts.append(stash(_emit(one, sent, bits, passes, turn).withColumn("uid", F.monotonically_increasing_id()), "rep-segments", "zstd"))
             sent.unpersist()
         found = parts[0]
         for p in parts[1:]:
