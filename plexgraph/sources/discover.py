@@ -16,6 +16,7 @@ FILE_TYPES = (
 )
 #: Types that have a parser.
 PARSED = ("python", "javascript", "typescript", "angular", "angular_template", "angular_style", "html", "css")
+# Shell patterns of what is not read.
 EXCLUDED = (
     "__pycache__", "*.pyc", ".git", ".svn", ".hg", ".venv", "venv", "env", "node_modules", "dist", "build", "*.egg-info", ".pytest_cache", ".mypy_cache", ".tox",
     ".idea", ".vscode", "*.min.js", "*.min.css", "coverage", "*/lib/*", "*/bin/*", "*/out/*",
