@@ -3,12 +3,14 @@
 A template of n words is looked for in windows of 2.5 n words that start every n words, so any stretch of up to 1.5 n
 words lies whole in a window. A window that holds the required part of a template's shingles has at least a known
 similarity to it; from that follows how many bands, of one MinHash row each, collide with probability 1 - MISS at least.
-Windows without any shingle of any template cannot match and get no signature. DataFrame functions only.
+Windows without any shingle of any template cannot match and get no signature. A template of fewer than K words is one
+shingle, its whole word sequence, and is looked for by a pattern in the text. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,8 @@ TEMPLATES = {
     "boost-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
     "all-rights-line": "All rights reserved. No part of this publication may be reproduced",
 }
+#: Notices of fewer than K words. They stand apart from TEMPLATES, which the SQL of op9_license_scan lists.
+SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved."}
 
 
 def window_words(n: int) -> int:
@@ -98,16 +102,41 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(got, "name string, n int, _bands int, _kinds array<string>, _hashes array<long>")
 
 
+def _short(docs: DataFrame, templates: dict[str, list[str]], id_col: str, text_col: str) -> DataFrame:
+    """scan for templates of fewer than K words, given as lists of words: each is one shingle, and the earliest window
+    that holds its first occurrence in a row is the row's earliest."""
+    of = {name: "(?<![a-z0-9])" + "[^a-z0-9]+".join(words) + "(?![a-z0-9])" for name, words in templates.items()}
+    low = F.lower(F.col(text_col))
+    some = docs.select(F.col(id_col).alias("doc_id"), low.alias("_low")).filter(F.col("_low").rlike("|".join(of.values())))
+
+    def found(name: str) -> Column:
+        n = len(templates[name])
+        before = F.regexp_count(F.split("_low", of[name], 2)[0], F.lit("[a-z0-9]+"))
+        first = F.ceil(F.greatest(before + n - window_words(n), F.lit(0)) / n) * n
+        return F.when(F.col("_low").rlike(of[name]), F.struct(F.lit(name).alias("license"), first.cast("long").alias("first_word")))
+
+    each = some.select("doc_id", F.explode(F.array_compact(F.array(*[found(name) for name in sorted(of)]))).alias("_f"))
+    best = each.groupBy("doc_id", F.col("_f.license").alias("license")).agg(F.min("_f.first_word").alias("first_word"))
+    one = F.lit(1).cast("long")
+    return best.select("doc_id", "license", one.alias("template_shingles"), one.alias("matched"), "first_word")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The templates found in each document: doc_id, license, template_shingles, matched, first_word.
 
     A template is found if a window holds at least `contained` of its distinct 5-word shingles; matched is the most that
     one window holds and first_word the number (from 0) of the first word of the earliest such window. Words are runs of
-    letters and digits a-z, 0-9 after lower-casing. Defined results: a null or empty text has no matches; rows that share
-    an id are one document; rows with a null id are too; templates of fewer than 5 words are left out; an empty table
-    gives no rows.
+    letters and digits a-z, 0-9 after lower-casing. A template of fewer than 5 words is one shingle of all its words.
+    Defined results: a null or empty text has no matches; rows that share an id are one document; rows with a null id
+    are too; templates without words are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    split = {name: re.findall("[a-z0-9]+", text.lower()) for name, text in templates.items()}
+    short = {name: w for name, w in split.items() if 0 < len(w) < K}
+    if short:
+        rest = {name: templates[name] for name, w in split.items() if len(w) >= K}
+        part = _short(docs, short, id_col, text_col)
+        return scan(docs, rest, contained, id_col, text_col).unionByName(part) if rest else part
     known = _templates(spark, templates)
     listed = known.collect()
     every = F.array(*[F.lit(h) for h in sorted({h for r in listed for h in r["_hashes"]})]).cast("array<bigint>")
@@ -144,6 +173,10 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op9_short(spark, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), SHORT_TEMPLATES)
+
+
 def oracle() -> str:
     """The same by an index of all shingles and their positions, without windows' signatures."""
     rows = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in sorted(TEMPLATES.items()))

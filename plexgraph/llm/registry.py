@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_sharding": sharding.op7,
         "op8_suffix_dedup": suffix_dedup.op8,
         "op9_license_scan": licenses.op9,
+        "op9_short_notices": licenses.op9_short,
         "op10_source_mix": mixing.op10,
     }
 

@@ -59,3 +59,24 @@ def test_bands_miss_seldom():
 def test_plan_is_native(no_docs):
     plan = licenses.scan(no_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_templates_of_few_words(spark):
+    rng = random.Random(4)
+    templates = {"rights": "All rights reserved.", "one": "Copyleft", "two": "No warranty", "four": "May not be sold", "empty": "©", "mit-line": licenses.TEMPLATES["mit-line"]}
+    kinds = "all rights reserved no warranty copyleft may not be sold unreserved hall \U0001f642 é".split()
+    data = [(i, "".join(rng.choice(kinds) + rng.choice([" ", " ", ", ", "\n"]) for _ in range(rng.randrange(0, 60)))) for i in range(300)]
+    data += [(900, None), (901, ""), (902, "ALL -- RIGHTS\nRESERVED"), (903, "x All rights reserved. Released under the MIT License."), (904, "\U0001f642 é " * 9 + "a all rights reserved"), (905, "hall rights reserved, all rights reserved1"), (906, "they may, not be SOLD may not be sold")]
+    want = []
+    for i, t in data:
+        w = re.findall("[a-z0-9]+", (t or "").lower())
+        for name, text in templates.items():
+            q = re.findall("[a-z0-9]+", text.lower())
+            n = len(q)
+            starts = [s for s in range(0, len(w), n or 1) if any(w[p : p + n] == q for p in range(s, s + licenses.window_words(n) - n + 1))] if n else []
+            want += [(i, name, 1, 1, starts[0])] if starts else []
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.license, r.template_shingles, r.matched, r.first_word) for r in licenses.scan(df, templates).collect())
+    assert got == sorted(want) and {g[1] for g in got} == set(templates) - {"empty"}
+    shared = spark.createDataFrame([(None, "x y z x y z x y all rights reserved"), (None, "All rights reserved."), (1, None)], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.scan(shared, licenses.SHORT_TEMPLATES).collect()] == [(None, "all-rights-reserved", 1, 1, 0)]
