@@ -94,11 +94,11 @@ def _signature(hashes: Column, bands: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), bands - 1), lambda p: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, p))))
 
 
-def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+def _templates(spark: SparkSession, templates: dict[str, str], contained: float) -> DataFrame:
     """name, n (words), _bands, _kinds (distinct shingles as strings) and _hashes. As small as the dictionary given."""
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", words_of(F.col("text")).alias("_w"))
     rows = rows.filter(F.size("_w") >= K).select("name", F.size("_w").alias("n"), F.array_distinct(_strings(F.col("_w"))).alias("_kinds"), F.array_distinct(_hashes(F.col("_w"))).alias("_hashes"))
-    got = [(r["name"], r["n"], bands_needed(r["n"], len(r["_kinds"])), r["_kinds"], r["_hashes"]) for r in rows.collect()]
+    got = [(r["name"], r["n"], bands_needed(r["n"], len(r["_kinds"]), contained), r["_kinds"], r["_hashes"]) for r in rows.collect()]
     return spark.createDataFrame(got, "name string, n int, _bands int, _kinds array<string>, _hashes array<long>")
 
 
@@ -137,7 +137,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
         rest = {name: templates[name] for name, w in split.items() if len(w) >= K}
         part = _short(docs, short, id_col, text_col)
         return scan(docs, rest, contained, id_col, text_col).unionByName(part) if rest else part
-    known = _templates(spark, templates)
+    known = _templates(spark, templates, contained)
     listed = known.collect()
     every = F.array(*[F.lit(h) for h in sorted({h for r in listed for h in r["_hashes"]})]).cast("array<bigint>")
     bands: dict[int, int] = {}

@@ -80,3 +80,10 @@ def test_templates_of_few_words(spark):
     assert got == sorted(want) and {g[1] for g in got} == set(templates) - {"empty"}
     shared = spark.createDataFrame([(None, "x y z x y z x y all rights reserved"), (None, "All rights reserved."), (1, None)], "doc_id long, text string")
     assert [tuple(r) for r in licenses.scan(shared, licenses.SHORT_TEMPLATES).collect()] == [(None, "all-rights-reserved", 1, 1, 0)]
+
+
+def test_bands_follow_the_share_asked_for(no_docs, monkeypatch):
+    real, asked = licenses.bands_needed, []
+    monkeypatch.setattr(licenses, "bands_needed", lambda n, kinds, *share: asked.append(share) or real(n, kinds, *share))
+    licenses.scan(no_docs, contained=0.5)
+    assert set(asked) == {(0.5,)}
