@@ -85,23 +85,59 @@ def walks(seeds: DataFrame, edges: DataFrame, least: int, most: int, distinct: b
     return reduce(DataFrame.unionByName, out)
 
 
-def paths(seeds: DataFrame, edges: DataFrame, least: int, most: int) -> DataFrame:
-    """(start, node, depth, path) for every path of least..most edges that repeats no node. path: array of ids."""
+def paths(seeds: DataFrame, edges: DataFrame, least: int, most: int | None, close: bool = False) -> DataFrame:
+    """(start, node, depth, path) for every path of least..most edges (most None: of any length) that repeats no node;
+    with close, for every cycle instead: the last step returns to the start, which stands at both ends of its path. path:
+    array of ids."""
+    edges = on_cycles(edges) if close else edges
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("__next"))
     front = seeds.select("start", F.col("start").alias("node"), F.array("start").alias("path"))
-    out = []
-    for depth in range(1, most + 1):
-        grown = front.join(step, "node").filter(~F.array_contains("path", F.col("__next")))
-        front = stash(grown.select("start", F.col("__next").alias("node"), F.array_append("path", F.col("__next")).alias("path")), "path")
-        if front.isEmpty():
+    out, depth = [], 0
+    while most is None or depth < most:
+        depth += 1
+        back = F.col("__next") == F.col("start") if close else F.lit(False)
+        grown = front.join(step, "node").filter(back | ~F.array_contains("path", F.col("__next")))
+        found = stash(grown.select("start", F.col("__next").alias("node"), F.array_append("path", F.col("__next")).alias("path")), "path")
+        if found.isEmpty():
             break
         if depth >= least:
-            out.append(front.withColumn("depth", F.lit(depth).cast("long")))
+            ended = found.filter(F.col("node") == F.col("start")) if close else found
+            out.append(ended.withColumn("depth", F.lit(depth).cast("long")))
+        front = found.filter(F.col("node") != F.col("start")) if close else found
     if not out:
         return front.withColumn("depth", F.lit(0).cast("long")).limit(0)
     return reduce(DataFrame.unionByName, out)
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """edges without those that lead only to dead ends or come only from sources: no cycle uses them."""
+    left, n = stash(edges, "trimmed"), edges.count()
+    while True:
+        kept = semi(semi(left, left, key="dst"), left, incoming=True, key="src")
+        left, before = stash(kept.select(edges.columns), "trimmed"), n
+        n = left.count()
+        if n == before:
+            return left
+
+
+def closures(seeds: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """(start, node, depth): the starts that a walk of at least `least` edges leads back to, node being the start, with
+    the least such depth. Goes on until no step finds a new pair of start and node."""
+    step = on_cycles(edges.select("src", "dst").distinct()).select(F.col("src").alias("node"), F.col("dst").alias("__next"))
+    front, depth = seeds.select("start", F.col("start").alias("node")), 0
+    seen = None
+    while True:
+        depth += 1
+        new = front.join(step, "node").select("start", F.col("__next").alias("node")).distinct()
+        if seen is not None:
+            new = new.join(seen, ["start", "node"], "left_anti")
+        front = stash(new.withColumn("depth", F.lit(depth).cast("long")), "closures")
+        if depth >= least:
+            seen = front if seen is None else seen.unionByName(front)
+        if front.isEmpty():
+            return (front if seen is None else seen).filter(F.col("start") == F.col("node"))
+
+
 def cycles(edges: DataFrame, least: int, most: int) -> DataFrame:
     """(node, length) of closed walks of least..most edges."""
     seeds = edges.select(F.col("src").alias("start")).distinct()

@@ -7,7 +7,9 @@ show_tables(). Each bound variable is a set of columns `var.property`; Catalyst
 become joins, pattern predicates semi and anti joins, variable length loops in operators.patterns.
 
 Bounds of `*`: with both bounds, walks; without an upper one, reachability at the least depth, or paths that repeat no
-node, up to MAX_DEPTH, where the path itself is asked for.
+node, up to MAX_DEPTH, where the path itself is asked for. A cyclic pattern (a)-[*]->(a) without an upper bound has no
+limit of length: each start once, at the least length from the lower bound on, or, where the path or relationship has a
+name, every cycle that repeats no node but its start. Paths asked for go as far as a written bound.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from plexgraph.plans.catalog import GraphCatalog
 from plexgraph.storage import stash
 
 MAX_DEPTH = 30
-MAX_CYCLE = 10
 
 
 class CypherError(ValueError):
@@ -552,12 +553,16 @@ class Planner:
         e = stash(edges.select(F.col("__src").alias("src"), F.col("__dst").alias("dst")), "hops")
         seeds = stash(self.rows.select(self.col(at.var, "__gid").alias("start")).distinct(), "starts")
         cyclic = at.var == to.var
-        if path and self.path_values:
-            found = P.paths(seeds, e, r.least, min(r.most or MAX_DEPTH, MAX_DEPTH))
+        # The lengths of a cycle without an upper bound can be told apart only by following each.
+        each = cyclic and r.most is None and (path or not r.var.startswith("_"))
+        if path and self.path_values or each:
+            found = P.paths(seeds, e, r.least, r.most or (None if cyclic else MAX_DEPTH), close=cyclic)
             nodes = F.reverse("path") if back else F.col("path")
             found = found.select("start", "node", "depth", F.array_join(nodes, " -> ").alias("path"))
-        elif cyclic or r.most is not None:
-            found = P.walks(seeds, e, r.least, r.most or MAX_CYCLE, distinct=True).withColumn("path", F.lit(None).cast("string"))
+        elif r.most is not None:
+            found = P.walks(seeds, e, r.least, r.most, distinct=True).withColumn("path", F.lit(None).cast("string"))
+        elif cyclic:
+            found = P.closures(seeds, e, r.least).withColumn("path", F.lit(None).cast("string"))
         else:
             found = P.reach_pairs(seeds, e).filter(F.col("depth") >= r.least).withColumn("path", F.lit(None).cast("string"))
         name = path or r.var

@@ -122,3 +122,44 @@ def test_views(spark):
     seen, kept = V.in_window(nodes, edges, (-1, -1, 6, 6))
     assert {r.id for r in seen.collect()} == {1, 2} and sorted(map(tuple, kept.collect())) == [(1, 2), (2, 3)]
     assert V.neighbours(edges, 3).count() == 2
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(str(i), str((i + 1) % 14)) for i in range(14)]
+    pairs = ring + [("3", "x"), ("x", "y"), ("z", "0"), ("2", "2"), ("7", "6")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    seeds = edges.selectExpr("src as start").distinct()
+    assert {r.src for r in P.on_cycles(edges).collect()} == {str(i) for i in range(14)}
+    for least in (1, 2, 3):
+        def lengths(i, least=least):
+            front, d = {i}, 0
+            while d < 40:
+                d += 1
+                front = {b for a, b in pairs if a in front}
+                if d >= least and i in front:
+                    return d
+
+        want = {(i, lengths(i)) for i in {a for a, _ in pairs} if lengths(i)}
+        assert {(r.start, r.depth) for r in P.closures(seeds, edges, least).collect()} == want
+    got = sorted((r.start, r.depth) for r in P.paths(seeds, edges, 1, None, close=True).collect())
+    assert got == sorted([(str(i), 14) for i in range(14)] + [("2", 1), ("6", 2), ("7", 2)])
+    assert P.paths(seeds, spark.createDataFrame([("a", "b")], "src string, dst string"), 1, None, close=True).count() == 0
+
+
+def test_cypher_cycles_beyond_ten_nodes(spark, tmp_path):
+    from plexgraph.engine import Engine
+
+    (tmp_path / "src").mkdir()
+    for i in range(12):
+        (tmp_path / "src" / f"m{i:02}.py").write_text(f"import m{(i + 1) % 12:02}\n\ndef f{i}():\n    return {i}\n")
+    for i in range(35):
+        (tmp_path / "src" / f"c{i:02}.py").write_text(f"def call{i:02}():\n    return " + (f"call{i + 1:02}()\n" if i < 34 else "1\n"))
+    e = Engine(spark, str(tmp_path / "store"))
+    e.update(str(tmp_path / "src"))
+    assert e.query("MATCH (f:File)-[:IMPORTS]->(g:File) RETURN f.path AS a").count() == 12
+    rows = e.query("MATCH path = (f1:File)-[:IMPORTS*2..]->(f1) WHERE length(path) > 2 RETURN path LIMIT 10").collect()
+    assert len(rows) == 10 and {r.path.length for r in rows} == {12}
+    assert len({r.p for r in e.query("MATCH (f:File)-[:IMPORTS*]->(f) RETURN f.path AS p").collect()}) == 12
+    assert {r.n for r in e.query("MATCH path = (f:File)-[:IMPORTS*]->(f) RETURN f.path AS p, length(path) AS n").collect()} == {12}
+    far = e.query("MATCH path = (a:Function {name: 'call00'})-[:CALLS*1..50]->(b:Function) RETURN path").collect()
+    assert max(r.path.length for r in far) == 34
