@@ -85,6 +85,26 @@ def walks(seeds: DataFrame, edges: DataFrame, least: int, most: int, distinct: b
     return reduce(DataFrame.unionByName, out)
 
 
+def all_walks(seeds: DataFrame, edges: DataFrame, least: int, most: int) -> DataFrame:
+    """(start, node, depth) with a row for every walk. The steps carry the number of walks, so none is larger than nodes
+    times starts; rows are repeated at the end only, in arrays of at most 4096."""
+    step = edges.groupBy(F.col("src").alias("node"), F.col("dst").alias("__next")).agg(F.count(F.lit(1)).alias("__e"))
+    front, out = seeds.select("start", F.col("start").alias("node"), F.lit(1).cast("long").alias("__n")), []
+    for depth in range(1, most + 1):
+        front = front.join(step, "node").groupBy("start", F.col("__next").alias("node")).agg(F.sum(F.col("__n") * F.col("__e")).alias("__n"))
+        front = stash(front, "walk")
+        if depth >= least:
+            out.append(front.withColumn("depth", F.lit(depth).cast("long")))
+        if front.isEmpty():
+            break
+    if not out:
+        return seeds.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("depth")).limit(0)
+    found = reduce(DataFrame.unionByName, out)
+    parts = found.withColumn("__i", F.explode(F.expr("sequence(0L, (__n - 1) div 4096)")))
+    rows = parts.withColumn("__j", F.explode(F.expr("sequence(1L, least(4096L, __n - 4096 * __i))")))
+    return rows.select("start", "node", "depth")
+
+
 def paths(seeds: DataFrame, edges: DataFrame, least: int, most: int | None, close: bool = False) -> DataFrame:
     """(start, node, depth, path) for every path of least..most edges (most None: of any length) that repeats no node;
     with close, for every cycle instead: the last step returns to the start, which stands at both ends of its path. path:

@@ -6,10 +6,11 @@ predicates and count{}; WITH; RETURN [DISTINCT] with aliases and aggregates; ORD
 show_tables(). Each bound variable is a set of columns `var.property`; Catalyst prunes what is not asked for. Patterns
 become joins, pattern predicates semi and anti joins, variable length loops in operators.patterns.
 
-Bounds of `*`: with both bounds, walks; without an upper one, reachability at the least depth, or paths that repeat no
-node, up to MAX_DEPTH, where the path itself is asked for. A cyclic pattern (a)-[*]->(a) without an upper bound has no
-limit of length: each start once, at the least length from the lower bound on, or, where the path or relationship has a
-name, every cycle that repeats no node but its start. Paths asked for go as far as a written bound.
+Bounds of `*`: with both bounds, walks (of a cyclic pattern one row for each start and length); without an upper one,
+reachability at the least depth, or paths that repeat no node, up to MAX_DEPTH, where the path itself is asked for. A
+cyclic pattern (a)-[*]->(a) without an upper bound has no limit of length: each start once, at the least length from the
+lower bound on, or, where the path or relationship has a name, every cycle that repeats no node but its start. Paths
+asked for go as far as a written bound.
 """
 
 from __future__ import annotations
@@ -394,6 +395,13 @@ def _aggregates(e) -> bool:
     return any(_aggregates(x) for x in e) if isinstance(e, (tuple, list)) else False
 
 
+def _counts(e) -> bool:
+    """Whether an aggregate in e depends on how often a row stands."""
+    if isinstance(e, tuple) and e and e[0] == "call" and e[1] in _AGGREGATES:
+        return e[1] in ("sum", "avg") or e[1] in ("count", "collect") and not e[3]
+    return any(_counts(x) for x in e) if isinstance(e, (tuple, list)) else False
+
+
 def _conjuncts(e: tuple | None) -> list[tuple]:
     return [] if e is None else [*_conjuncts(e[1]), *_conjuncts(e[2])] if e[0] == "and" else [e]
 
@@ -408,6 +416,7 @@ class Planner:
         self.scalars: set[str] = set()
         self.pending: list[tuple] = []
         self.path_values = False
+        self.once = False  # the next result does not depend on how often a row stands
 
     # Columns of a variable are `var.property`.
     def col(self, var: str, prop: str) -> Column:
@@ -560,7 +569,8 @@ class Planner:
             nodes = F.reverse("path") if back else F.col("path")
             found = found.select("start", "node", "depth", F.array_join(nodes, " -> ").alias("path"))
         elif r.most is not None:
-            found = P.walks(seeds, e, r.least, r.most, distinct=True).withColumn("path", F.lit(None).cast("string"))
+            found = P.walks(seeds, e, r.least, r.most, distinct=True) if cyclic or self.once else P.all_walks(seeds, e, r.least, r.most)
+            found = found.withColumn("path", F.lit(None).cast("string"))
         elif cyclic:
             found = P.closures(seeds, e, r.least).withColumn("path", F.lit(None).cast("string"))
         else:
@@ -585,7 +595,7 @@ class Planner:
             if not keys:
                 raise CypherError("OPTIONAL MATCH starts from a bound node")
             inner = Planner(self.g, self.params)
-            inner.path_values = self.path_values
+            inner.path_values, inner.once = self.path_values, self.once
             inner.labels = {k: self.labels[k] for k in keys}
             own = [x for x in self.rows.columns if x.split(".")[0] in keys]
             inner.rows = self.rows.select(*[F.col(f"`{x}`") for x in own]).distinct()
@@ -791,8 +801,10 @@ def run(catalog: GraphCatalog, text: str, params: dict | None = None) -> DataFra
     plan = Planner(catalog, params or {})
     named = {p.path for c in clauses for p in c.patterns if p.path}
     plan.path_values = any(i.expr == ("name", n) for c in clauses for i in c.items for n in named)
-    for c in clauses:
+    for n, c in enumerate(clauses):
         if c.kind in ("match", "optional"):
+            after = next((x for x in clauses[n:] if x.kind in ("with", "return")), None)
+            plan.once = after is not None and (after.distinct or any(_aggregates(i.expr) for i in after.items)) and not any(_counts(i.expr) for i in after.items)
             plan.match(c)
         else:
             if plan.rows is None:

@@ -163,3 +163,19 @@ def test_cypher_cycles_beyond_ten_nodes(spark, tmp_path):
     assert {r.n for r in e.query("MATCH path = (f:File)-[:IMPORTS*]->(f) RETURN f.path AS p, length(path) AS n").collect()} == {12}
     far = e.query("MATCH path = (a:Function {name: 'call00'})-[:CALLS*1..50]->(b:Function) RETURN path").collect()
     assert max(r.path.length for r in far) == 34
+
+
+def test_cypher_counts_every_walk(spark, tmp_path):
+    from plexgraph.engine import Engine
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("def top():\n    left()\n    right()\n\ndef left():\n    low()\n\ndef right():\n    low()\n\ndef low():\n    return 1\n")
+    e = Engine(spark, str(tmp_path / "store"))
+    e.update(str(tmp_path / "src"))
+    ask = lambda out: sorted(map(tuple, e.query(f"MATCH (a:Function {{name: 'top'}})-[:CALLS*1..3]->(b:Function) RETURN {out}").collect()))
+    assert ask("b.name AS b, COUNT(*) AS n") == [("left", 1), ("low", 2), ("right", 1)]
+    assert ask("b.name AS b") == [("left",), ("low",), ("low",), ("right",)]
+    assert ask("DISTINCT b.name AS b") == [("left",), ("low",), ("right",)]
+    assert ask("b.name AS b, COUNT(DISTINCT a.name) AS n") == [("left", 1), ("low", 1), ("right", 1)]
+    seeds, edges = spark.createDataFrame([("x",)], "start string"), spark.createDataFrame([("x", "y")] * 100 + [("y", "z")] * 50, "src string, dst string")
+    assert {(r.node, r["count"]) for r in P.all_walks(seeds, edges, 1, 3).groupBy("node").count().collect()} == {("y", 100), ("z", 5000)}
