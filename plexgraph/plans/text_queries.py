@@ -137,5 +137,19 @@ def source_styles(spark, sf) -> DataFrame:
     return rows.select("path", *[c.cast("string").alias(n) for n, c in style_features(F.col("text"), F.col("path")).items()])
 
 
-QUERIES |= {f.__name__: f for f in (source_entities, source_edges, source_errors, source_styles)}
+def page_entities(spark, sf) -> DataFrame:
+    """The HTML parser over the whole pages table."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    files = pages.select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("file_type"), F.coalesce("html", F.lit("")).alias("text"))
+    return E.entities_of(E.parse_files(files)).select("type", "name", "file_path", "line_start", "line_end")
+
+
+def page_features(spark, sf) -> DataFrame:
+    """All template features over the whole pages table."""
+    from plexgraph.functions.text import html_features
+
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", *[c.alias(n) for n, c in html_features(F.col("html")).items()])
+
+
+QUERIES |= {f.__name__: f for f in (source_entities, source_edges, source_errors, source_styles, page_entities, page_features)}
 SQL["source_errors"] = "SELECT 'pkg/bad.py' AS file_path, 'SyntaxError: invalid syntax (<unknown>, line 1)' AS message"

@@ -36,3 +36,11 @@ def test_query(spark, duck, name):
     listed = want.fetchall()
     order = [want.columns.index(n) for n in names]
     assert sorted(repr([r[n] for n in names]) for r in rows) == sorted(repr([r[i] for i in order]) for r in listed)
+
+
+def test_pages_are_read_whole(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    found = QUERIES["page_features"](spark, SF)
+    assert found.count() == pages.count() and len(found.columns) == 8
+    seen = {r.file_path for r in QUERIES["page_entities"](spark, SF).select("file_path").distinct().collect()}
+    assert seen == {str(r.page_id) for r in pages.select("page_id").collect()}
