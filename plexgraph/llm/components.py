@@ -58,8 +58,9 @@ def _rooted(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
-    """links: (a, b), longs. (node, root) for every linked node, root being the least node of its component."""
+def components(links: DataFrame, in_one_task: int = IN_ONE_TASK, stash=stash) -> DataFrame:
+    """links: (a, b), longs. (node, root) for every linked node, root being the least node of its component. stash stores
+    a table and returns it read again."""
     links = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # `a` is the larger end from here on.
     links = stash(links.mapInPandas(_forest, "a long, b long"), "links")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from plexgraph.llm import minhash
+from plexgraph.llm import common, minhash
 from plexgraph.llm.components import UnionFind
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,3 +77,19 @@ def test_overlaps():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (5, 50, 200, 1)]
     assert minhash.overlaps(sets, sets, wide=32).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
+def test_long_words_with_one_polynomial_hash_are_told_apart(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert minhash.word_hashes(word.encode())[0] != minhash.word_hashes(other.encode())[0]
+    assert run(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string"), 4) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
+
+
+def test_only_what_is_read_later_stays_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e g")]
+    minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [p.name[:9] for p in (tmp_path / "plexgraph").iterdir()] == ["dup-rows-"]

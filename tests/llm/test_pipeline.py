@@ -72,3 +72,14 @@ def test_repeated_ids_stay_once(spark, sf_dir):
 def test_secret_free_documents_are_untouched(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 7 AND doc_id > 0")
     assert sorted(map(tuple, secrets.redact(df, secrets.weights_of(spark)).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_unlike_texts_of_one_id_stay(spark, sf_dir, awkward):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one, "en", "a", 1), (2, one + " more", "en", "a", 1), (2, two, "en", "a", 2), (3, three, "en", "a", 3), (3, two + " tail", "en", "a", 4), (None, three, "en", "b", 5), (None, three, "de", "b", 6)]
+    rows += [(None, "a text of its own", None, None, 7), (9, None, None, None, None), (9, None, None, None, None), (4, "four words of text", "en", "a", 8), (4, "four words of text", "en", "a", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df, sf_dir).collect()), key=str)
+    assert got == sorted([(1, one), (2, two), (3, three), (None, "a text of its own"), (9, None), (9, None), (4, "four words of text")], key=str)
+    kept = corpus_pipeline.near_duplicate_stage(spark, awkward, sf_dir)
+    assert kept.columns == awkward.columns and sorted(map(str, kept.collect())) == sorted(map(str, corpus_pipeline.near_duplicate_stage(spark, awkward.repartition(5), sf_dir).collect()))
