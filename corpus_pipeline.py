@@ -27,18 +27,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates (five words, similarity 0.8). Rows that
-    share an id stay once; rows without an id stay."""
+    """Keeps one row of each group of near duplicates (five words, as all stages on word shingles take where nothing else
+    is stated; similarity 0.8): the one with the least id. Rows are told by id and text, so different texts that share
+    an id, or have none, are decided one by one; rows equal in both stay once; rows without words all stay."""
     ship(spark)
-    found = stash(minhash.near_duplicates(docs), "kept")
-    gone = found.filter(~F.col("kept")).select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if again.isEmpty():
-        return left
-    again = stash(again.select("doc_id"), "repeated")
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return minhash.deduplicated(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
