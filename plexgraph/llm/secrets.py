@@ -6,7 +6,9 @@ better by a margin for each character. Matching, training and scoring are DataFr
 driver is the bigram table, whose size is fixed by the alphabet.
 
 Spans are code points, end exclusive. Spark gives no match offsets, so a pattern's matches and the pieces between them
-are taken with the same pattern, and their lengths add up to the offsets.
+are taken with the same pattern, and their lengths add up to the offsets. Running sums are made in chunks, each match is
+looked at once, and overlaps are told by running ends of the sorted spans, so a text with very many matches costs
+little more than its length.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 #: Nats a character by which the random model must win.
 MARGIN = 0.25
+#: Items that a running sum takes at a time.
+CHUNK = 256
 
 _WORDS = (
     "account action active address alert array async available balance batch binary bucket buffer build cache call cancel channel "
@@ -47,11 +51,12 @@ _WORDS = (
 ).split()
 
 
-def labelled_samples(count: int = 4000) -> list[tuple[str, int]]:
-    """(string, 1 if random) made by rule from hashes: base64, hexadecimal and alphanumeric strings of 20 to 64
-    characters, and identifiers of two to five words in camel, snake, kebab and path style, some with a number."""
+def labelled_samples(count: int = 4000, first: int = 0) -> list[tuple[str, int]]:
+    """(string, 1 if random) made by rule from the hashes of count numbers from first: base64, hexadecimal and
+    alphanumeric strings of 20 to 64 characters, and identifiers of two to five words in camel, snake, kebab and path
+    style, some with a number. Other numbers give other samples."""
     out = []
-    for i in range(count):
+    for i in range(first, first + count):
         d = b"".join(hashlib.sha256(f"{i}:{k}".encode()).digest() for k in range(4))
         n = 20 + d[0] % 45
         letters = (ALPHABET[:64], "0123456789abcdef", ALPHABET[:62])[i % 3]
@@ -100,21 +105,72 @@ def ratio(token: Column, weights: list[float]) -> Column:
     return total["sum"] / F.greatest(F.length(token), F.lit(1))
 
 
+def _bound(value: Column, make) -> Column:
+    """make(value) with value computed once: as a lambda's variable, not as an expression that each use repeats."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _chunks(items: Column) -> Column:
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _running(items: Column, join, zero: int) -> Column:
+    """Running values of an associative join over integers, in chunks, since an array that grows is copied each time."""
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(join(acc["at"], x))).alias("out"))
+
+    def before(acc: Column, part: Column) -> Column:
+        return F.struct(join(acc["at"], F.element_at(part, -1)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+    inner = F.transform(_chunks(items), lambda part: F.aggregate(part, start, step)["out"])
+
+    def joined(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, F.aggregate(parts, start, before)["out"], lambda part, at: F.transform(part, lambda x: join(at, x))))
+
+    return _bound(inner, joined)
+
+
 def _spans(text: Column, pattern: str, kind: str, rank: int, keep) -> Column:
     """Matches of a pattern as structs (start, rank, end, kind), those for which keep(match) holds."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        match = F.element_at(found, i)
-        start = acc["at"] + F.length(F.element_at(between, i))
-        end = start + F.length(match)
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(keep(match), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(found: Column, ends: Column) -> Column:
+        def one(match: Column, i: Column) -> Column:
+            return F.struct((ends[i] - F.length(match)).alias("start"), F.lit(rank).alias("rank"), ends[i].alias("end"), F.when(keep(match), kind).alias("kind"))
+
+        return F.filter(F.transform(found, one), lambda s: s["kind"].isNotNull())
+
+    def walked(found: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda x, y: F.length(x) + F.length(y))
+        return _bound(_bound(lengths, lambda n: _running(n, lambda x, y: x + y, 0)), lambda ends: placed(found, ends))
 
-    some = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
-    return F.when(text.rlike(pattern), F.aggregate(some, zero, step)["out"]).otherwise(zero["out"])
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    return F.when(text.rlike(pattern), _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)).otherwise(none)
+
+
+def _ends(spans: Column) -> Column:
+    """The largest end up to each span, of spans sorted by start."""
+    return _bound(F.transform(spans, lambda s: s["end"]), lambda e: _running(e, F.greatest, 0))
+
+
+def _with_models(spans: Column) -> Column:
+    """Sorted spans without those of the models that a fixed pattern's span touches: one that started at or before them
+    and ends later, or the next one, if it starts before they end."""
+    models, far = len(BASE), (1 << 31) - 1
+
+    def told(spans: Column, ends: Column, nexts: Column) -> Column:
+        marked = F.transform(spans, lambda s, i: F.struct(s.alias("s"), ((s["rank"] < models) | ((ends[i] <= s["start"]) & (nexts[i] >= s["end"]))).alias("ok")))
+        return F.transform(F.filter(marked, lambda m: m["ok"]), lambda m: m["s"])
+
+    def walked(spans: Column) -> Column:
+        ends = _bound(F.transform(spans, lambda s: F.when(s["rank"] < models, s["end"]).otherwise(0)), lambda e: _running(e, F.greatest, 0))
+        starts = F.transform(F.reverse(spans), lambda s: F.when(s["rank"] < models, s["start"]).otherwise(far))
+        nexts = F.reverse(_bound(starts, lambda e: _running(e, F.least, far)))
+        return _bound(ends, lambda e: _bound(nexts, lambda n: told(spans, e, n)))
+
+    return F.when(F.exists(spans, lambda s: s["rank"] == models), _bound(spans, walked)).otherwise(spans)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -143,30 +199,46 @@ def scan(docs: DataFrame, weights: list[float], margin: float = MARGIN, id_col:
     kinds = base_spans(F.col("_text"))
     markov = _spans(F.col("_text"), CANDIDATE, "markov", len(BASE), lambda m: ratio(m, weights) >= margin)
     spans = own.select("doc_id", *[k.alias(f"_{name}") for k, (name, *_) in zip(kinds, BASE)], markov.alias("_markov"))
-    base = F.array_sort(F.concat("_assign", "_access", "_hex"))
-    return spans.withColumn("base", base).select(
-        "doc_id",
-        *[F.size(f"_{name}").cast("long").alias(f"n_{name}") for name, *_ in BASE],
-        "base",
-        F.array_sort(F.concat("base", F.filter("_markov", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))).alias("found"),
+    return spans.withColumns({"base": F.array_sort(F.concat("_assign", "_access", "_hex")), "_all": F.array_sort(F.concat("_assign", "_access", "_hex", "_markov"))}).select(
+        "doc_id", *[F.size(f"_{name}").cast("long").alias(f"n_{name}") for name, *_ in BASE], "base", _with_models(F.col("_all")).alias("found")
     )
 
 
 def redact(docs: DataFrame, weights: list[float], margin: float = MARGIN, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of a secret in text replaced by a mark; other texts and all other columns stay, n_chars
-    follows the new text. Touching spans become one mark. A null text stays null."""
+    follows the new text. Spans that overlap become one mark. A null or empty text stays as it is; repeated rows and null
+    ids are treated like any row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     every = F.array_sort(F.concat(*base_spans(text), _spans(text, CANDIDATE, "markov", len(BASE), lambda m: ratio(m, weights) >= margin)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], more).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        )
+    def merged(spans: Column, ends: Column) -> Column:
+        """(start, end) of each run of spans that overlap: a run begins where no span before reaches, and ends where the
+        last one before the next run does."""
+        n = F.size(spans)
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.when(i > 0, F.element_at(spans, i + 1)["start"] >= F.element_at(ends, F.greatest(i, F.lit(1)))).otherwise(True))
+        return _bound(firsts, lambda f: F.transform(f, lambda i, k: F.struct(F.element_at(spans, i + 1)["start"].alias("start"), F.element_at(ends, F.when(k + 1 < F.size(f), F.element_at(f, F.least(k + 2, F.size(f)))).otherwise(n)).alias("end"))))
+
+    def marked(runs: Column) -> Column:
+        """The text with its runs replaced. Each chunk of runs has its own part of the text, as a substring is looked for
+        from the start of its string."""
+
+        def one(part: Column, at: Column, own: Column) -> Column:
+            pieces = F.transform(part, lambda r, k: _bound(F.when(k > 0, F.element_at(part, F.greatest(k, F.lit(1)))["end"]).otherwise(at), lambda p: F.concat(F.substring(own, p - at + 1, r["start"] - p), F.lit(mark))))
+            return F.array_join(pieces, "")
+
+        def chunk(parts: Column) -> Column:
+            def each(part: Column, k: Column) -> Column:
+                last = F.element_at(part, -1)["end"]
+                begin = F.when(k > 0, F.element_at(F.element_at(parts, F.greatest(k, F.lit(1))), -1)["end"]).otherwise(0)
+                return _bound(begin, lambda at: _bound(F.substring(F.col("text"), at + 1, last - at), lambda own: one(part, at, own)))
+
+            return F.array_join(F.transform(parts, each), "")
+
+        tail = F.element_at(runs, -1)["end"]
+        return F.concat(_bound(_chunks(runs), chunk), F.substring(F.col("text"), tail + 1, F.length("text")))
 
     name = unused(docs, "__spans")
-    walked = F.aggregate(name, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    walked = _bound(F.col(name), lambda spans: _bound(_bound(_ends(spans), lambda ends: merged(spans, ends)), marked))
     hit = docs.withColumn(name, every)
     out = hit.withColumn("text", F.when(F.size(name) > 0, walked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

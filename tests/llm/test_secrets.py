@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,13 +41,77 @@ def test_base_spans_equal_regex(spark, weights, awkward, rows_of):
 
 
 def test_models_tell_random_from_ordinary(spark, weights):
-    samples = spark.createDataFrame(secrets.labelled_samples(1500)[2400:], "text string, random int")
+    samples = spark.createDataFrame(secrets.labelled_samples(1500, first=4000), "text string, random int")
     right = samples.select(((secrets.ratio(F.col("text"), weights) >= secrets.MARGIN).cast("int") == F.col("random")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right > 0.97
     got = {r.doc_id: [s.kind for s in r.found] for r in secrets.scan(spark.createDataFrame(list(CASES.items()), "doc_id long, text string"), weights).collect()}
     assert got[10] == ["markov"] and got[11] == [] and got[13] == []
 
 
+def models(text, weights):
+    """The models' spans, by plain code."""
+    n, out = len(secrets.ALPHABET) + 2, []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        total, at = 0.0, 0
+        for c in m[0]:
+            k = secrets.ALPHABET.find(c) + 1 or n - 1
+            total, at = total + weights[at * n + k], k
+        if total / len(m[0]) >= secrets.MARGIN:
+            out.append((m.start(), 3, m.end(), "markov"))
+    return out
+
+
+def every(text, weights):
+    kept = base(text)
+    return sorted(kept + [m for m in models(text, weights) if not any(s < m[2] and m[0] < e for s, _, e, _ in kept)])
+
+
+def plain_redaction(text, weights):
+    out, at = "", 0
+    for s, _, e, _ in sorted(base(text) + models(text, weights)):
+        if s >= at:
+            out += text[at:s] + "[SECRET]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def mixed_text(rng, parts):
+    key = lambda: "".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(rng.randrange(18, 40)))
+    kinds = (
+        lambda: "token=" + key(), lambda: "AKIA" + key().upper().replace("/", "A").replace("+", "B"), lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(10, 30))), key,
+        lambda: "an ñ ordinary_identifier_of_some_length 🙂", lambda: "secret: " + key() + "=AKIA" + key(),
+    )
+    return " ".join(rng.choice(kinds)() for _ in range(parts))
+
+
+def test_all_spans_equal_plain_code(spark, weights):
+    rng = random.Random(3)
+    rows = list(CASES.items()) + [(100 + i, mixed_text(rng, n)) for i, n in enumerate([1, 2, 3, 5, 8, 13, 40, 255, 256, 257, 700])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secrets.scan(df, weights).collect():
+        assert [tuple(s) for s in r.found] == every(dict(rows)[r.doc_id], weights)
+    for r in secrets.redact(df, weights).collect():
+        text = dict(rows)[r.doc_id]
+        assert r.text == (plain_redaction(text, weights) if text else text)
+
+
+def test_models_on_words_they_have_not_seen(weights):
+    unseen = "render_widget_tree_of_dashboard fetchQuarterlyRevenueByCustomerRegion normalize-unicode-whitespace-runs sparkline/chart/axis/tick/labels"
+    unseen += " calculateShippingWeightInKilograms maximum_retry_attempts_before_giving_up PolygonIntersectionCalculator"
+    assert [models(w, weights) for w in unseen.split()] == [[]] * 7
+
+
+def test_very_many_matches_in_one_text(spark, weights):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(50_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    r = secrets.scan(df, weights).first()
+    assert r.n_hex == 50_000 and (r.base[-1].start, r.base[-1].end) == (len(text) - 20, len(text))
+    assert secrets.redact(df, weights).first().text == " ".join(["[SECRET]"] * 50_000)
+    assert time.time() - start < 60
+
+
 def test_redaction_keeps_clean_rows(spark, weights, awkward):
     df = spark.createDataFrame([(i, t, "en", "a", len(t) if t else None) for i, t in CASES.items()], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in secrets.redact(df, weights).collect()}
