@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from plexgraph.llm import mixing
 
 
+TEN = "w " * 10
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def targets(sizes):
     """Water filling by steps: what is over a cap is shared again until no target is above its cap."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
@@ -56,9 +60,9 @@ def test_hot_source_and_all_levels(spark, monkeypatch, broadcast):
 
 
 def test_picks_are_by_threshold(spark):
-    rows = [(i, "w " * 10, "en", "ab"[i % 2], 1) for i in range(400)]
+    rows = [(i, TEN, "en", "ab"[i % 2], 1) for i in range(400)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
-    h = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16)
+    h = lambda i: int(hashlib.md5(f"{i}:{hashlib.md5(TEN.encode()).hexdigest()}".encode()).hexdigest()[:13], 16)
     for s in "ab":
         mine = sorted((h(r.doc_id), -r.copies) for r in got if r.source == s)
         assert [c for _, c in mine] == sorted(c for _, c in mine)
@@ -75,3 +79,25 @@ def test_repeats_are_rows(spark):
 def test_plan_is_native(spark, no_docs):
     plan = mixing.mix(no_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_rows_without_ids_are_split(spark, same):
+    """A source of rows without ids, equal or not in text, and one of rows that share an id."""
+    rows = [(None, TEN if same else f"w{i} " * 10, "en", "b", 1) for i in range(100)] + [(i, TEN, "en", "a", 1) for i in range(300)] + [(7, TEN, "en", "c", 1)] * 90
+    df = spark.createDataFrame(rows, COLUMNS).repartition(6)
+    got = mixing.mix(df)
+    check(rows, got.collect())
+    want = {r.source: r.taken for r in got.groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    made = mixing.mixed_documents(df)
+    assert {r.source: r.n for r in made.groupBy("source").agg((10 * F.count(F.lit(1))).alias("n")).collect()} == {s: n for s, n in want.items() if n}
+
+
+def test_many_sources_equal_few(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(0, 30), "en", f"s{rng.randrange(300)}", 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    one = mixing.mix(df).collect()
+    check(rows, one)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert sorted(map(tuple, one)) == sorted(map(tuple, mixing.mix(df).collect()))
