@@ -14,13 +14,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import pick, stash
+from plexgraph.llm.common import pick, stash, table, unused
 
 BITS = 62
 FIRST, NEXT = 12, 8
+#: Work units that all shards are cut into: one for so many rows, between these bounds.
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 1_000_000, 128, 4096
 
 
 @dataclass
@@ -54,15 +56,15 @@ def _settle(goal: _Goal, cells: list[tuple[int, tuple[int, int]]], width: int) -
     goal.found = (goal.group, end) if goal.level else (end, 0)
 
 
-def find_boundaries(keyed: DataFrame, goals: list[_Goal]) -> None:
-    """Refine every goal to a key. keyed: _h, _g (keys of 62 bits), _size. What the driver gets is at most
-    len(goals) * 256 sums a round, and 4096 in the first."""
+def find_boundaries(keyed: DataFrame, goals: list[_Goal], first: int = FIRST) -> None:
+    """Refine every goal to a key. keyed: _h, _g (keys of 62 bits), _size. What the driver gets is at most 2**first sums
+    in the first round, and 256 for each goal that is still open in a later one."""
     while open_ := [g for g in goals if g.found is None]:
         for level, key in ((0, "_h"), (1, "_g")):
             mine = [g for g in open_ if g.level == level]
             for bits in sorted({g.bits for g in mine}):
                 batch = [g for g in mine if g.bits == bits]
-                step = min(FIRST if bits == 0 else NEXT, BITS - bits)
+                step = min((first if not level else FIRST) if bits == 0 else NEXT, BITS - bits)
                 shift = BITS - bits - step
                 rows = keyed
                 if level:
@@ -91,64 +93,82 @@ def find_boundaries(keyed: DataFrame, goals: list[_Goal]) -> None:
                             g.level, g.group, g.prefix, g.bits = 1, g.prefix, 0, 0
 
 
-def histogram_sort(docs: DataFrame, shards: int = 8, parts: int = 128, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deal docs into shards of near equal bytes (UTF-8 length plus 1 a row), sorted by text hash.
-
-    Returns doc_id, size, text_crc32, shard, slot. tolerance: how far a boundary may lie from its goal, as a part of a
-    shard's bytes. parts: work units into which all shards together are cut; raise it with the data. Defined results:
-    a null text has size 1 and the checksum of no bytes; null ids and repeated rows take slots like any row; rows equal
-    in text and id are never told apart, so they share a part; an empty table gives no rows. Other columns of docs are
-    not read.
-    """
+def _key_columns(id_col: str, text_col: str) -> dict[str, Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = stash(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text).cast("long") + 1).alias("_size"),
-            F.crc32(text.cast("binary")).alias("_crc"),
-            F.shiftrightunsigned(F.xxhash64(text), 2).alias("_h"),
-            F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 2).alias("_g"),
-        ),
-        "shard-keys",
-    )
+    return {
+        "_size": F.octet_length(text).cast("long") + 1, "_crc": F.crc32(text.cast("binary")),
+        "_h": F.shiftrightunsigned(F.xxhash64(text), 2), "_g": F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 2),
+    }
+
+
+@dataclass
+class _Plan:
+    """Where the shards and their parts begin, and the rows before each part in its shard."""
+
+    cuts: list[tuple[int, int]]
+    shard_of: list[int]
+    offset: list[int]
+
+    def part(self, h: Column, g: Column) -> Column:
+        return pick(self.cuts, F.lit, lambda cut: (h < cut[0]) | ((h == cut[0]) & (g < cut[1])))
+
+    def shard(self, part: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in self.shard_of]), part + 1)
+
+    def slot(self, part: Column, order: list[Column]) -> Column:
+        known = F.array(*[F.lit(x).cast("long") for x in self.offset])
+        return F.element_at(known, part + 1) + F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+
+
+def _planned(keyed: DataFrame, shards: int, tolerance: float) -> _Plan:
     total, rows = keyed.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
     goals = [_Goal(0, total * i / shards, tolerance * total / shards) for i in range(1, shards)] if total else []
-    parts = max(shards, min(parts, rows // 1000))
+    parts = max(shards, min(rows // 1000, max(LEAST_PARTS, min(MOST_PARTS, rows // PART_ROWS))))
     finer = [_Goal(1, rows * i / parts, max(0.5, 0.25 * rows / parts)) for i in range(1, parts)] if rows else []
-    find_boundaries(keyed, goals + finer)
+    find_boundaries(keyed, goals + finer, max(FIRST, (16 * parts - 1).bit_length()))
     of_shard = sorted(g.found for g in goals)
     cuts = sorted({g.found for g in goals + finer})
-    shard_of = [sum(s <= c for s in of_shard) for c in [(-1, -1), *cuts]]
-
-    def below(cut: tuple[int, int]):
-        return (F.col("_h") < cut[0]) | ((F.col("_h") == cut[0]) & (F.col("_g") < cut[1]))
-
-    dealt = keyed.withColumn("_part", pick(cuts, F.lit, below))
-    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, at = [], {}
-    for part, shard in enumerate(shard_of):
-        offset.append(at.get(shard, 0))
-        at[shard] = offset[-1] + counts.get(part, 0)
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "_g"))
-    known = F.array(*[F.lit(x).cast("long") for x in offset])
-    shard = F.array(*[F.lit(x) for x in shard_of])
-    return dealt.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_crc").alias("text_crc32"),
-        F.element_at(shard, F.col("_part") + 1).alias("shard"),
-        (F.element_at(known, F.col("_part") + 1) + place - 1).alias("slot"),
-    )
-
-
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write docs as one folder a shard, each sorted by slot. Ids must be unique here."""
-    out = docs.join(placed.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    plan = _Plan(cuts, [sum(s <= c for s in of_shard) for c in [(-1, -1), *cuts]], [])
+    counts = {r["_part"]: r["n"] for r in keyed.groupBy(plan.part(F.col("_h"), F.col("_g")).alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    at: dict[int, int] = {}
+    for part, shard in enumerate(plan.shard_of):
+        plan.offset.append(at.get(shard, 0))
+        at[shard] = plan.offset[-1] + counts.get(part, 0)
+    return plan
 
 
-def op7(spark, sf_dir: str) -> DataFrame:
-    from plexgraph.llm.common import table
+def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Deal docs into shards of near equal bytes (UTF-8 length plus 1 a row), sorted by text hash.
+
+    Returns doc_id, size, text_crc32, shard, slot. tolerance: how far a boundary may lie from its goal, as a part of a
+    shard's bytes. Defined results: a null text has size 1 and the checksum of no bytes; null ids and repeated rows take
+    slots like any row; rows equal in text and id are never told apart, so they share a part; an empty table gives no
+    rows. Other columns of docs are not read.
+    """
+    keyed = stash(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in _key_columns(id_col, text_col).items()]), "shard-keys")
+    plan = _planned(keyed, shards, tolerance)
+    part = F.col("_part")
+    dealt = keyed.withColumn("_part", plan.part(F.col("_h"), F.col("_g")))
+    return dealt.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), plan.shard(part).alias("shard"), plan.slot(part, ["_h", "_g"]).alias("slot"))
 
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write docs, all columns, as one folder `shard_number=N` a shard, whose files hold the column slot_number too and
+    are sorted by it. Names that docs has itself get a trailing underscore.
+
+    Every row goes to the part that its own key names, in one exchange; nothing is joined, so null ids, repeated ids and
+    repeated rows are written like any row. An empty table writes no shards.
+    """
+    keyed = stash(docs.select(*[c.alias(n) for n, c in _key_columns(id_col, text_col).items() if n != "_crc"]), "shard-keys")
+    plan = _planned(keyed, shards, tolerance)
+    h, g, part, shard, slot = (unused(docs, n) for n in ("__h", "__g", "__part", "shard_number", "slot_number"))
+    keys = _key_columns(id_col, text_col)
+    dealt = docs.withColumns({h: keys["_h"], g: keys["_g"]}).withColumn(part, plan.part(F.col(h), F.col(g)))
+    moved = dealt.repartition(len(plan.shard_of), part)
+    placed = moved.withColumns({shard: plan.shard(F.col(part)), slot: plan.slot(F.col(part), [h, g])}).sortWithinPartitions(shard, slot)
+    placed.drop(h, g, part).write.partitionBy(shard).parquet(path)
+
+
+def op7(spark, sf_dir: str) -> DataFrame:
     placed = histogram_sort(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from plexgraph.llm import sharding
 
 
@@ -44,9 +46,26 @@ def test_one_row_and_equal_rows(spark):
     check(rows, sharding.histogram_sort(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 8)
 
 
-def test_written_shards(spark, tmp_path):
+def test_written_shards(spark, tmp_path, awkward, rows_of):
     docs = spark.createDataFrame([(i, f"row {i} " * (i % 9 + 1), "en") for i in range(200)], "doc_id long, text string, lang string")
-    placed = sharding.histogram_sort(docs, shards=4)
-    sharding.write_shards(docs, placed, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 200 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    placed = {r.doc_id: (r.shard, r.slot) for r in sharding.histogram_sort(docs, shards=4).collect()}
+    assert {r.doc_id: (r.shard_number, r.slot_number) for r in back} == placed and len(back) == 200 and {r.shard_number for r in back} == {0, 1, 2, 3}
+    # Null ids, repeated ids and rows, and columns named like the result's own.
+    named = awkward.withColumn("slot_number", F.lit("x"))
+    sharding.write_shards(named, str(tmp_path / "awkward"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "awkward"))
+    assert set(named.columns) < set(back.columns) and {"slot_number_", "shard_number"} <= set(back.columns)
+    assert sorted(str(tuple(r)) for r in back.select(*awkward.columns).collect()) == sorted(str(tuple(r)) for r in awkward.collect())
+    for s in range(3):
+        mine = sorted(r.slot_number_ for r in back.filter(F.col("shard_number") == s).collect())
+        assert mine == list(range(len(mine)))
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 10)
+    monkeypatch.setattr(sharding, "LEAST_PARTS", 4)
+    rows = [(i, f"text {i}" if i % 3 else "hot text") for i in range(20_000)]
+    sizes = check(rows, sharding.histogram_sort(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect(), 4)
+    assert max(sizes) - min(sizes) <= 0.004 * sum(sizes)
