@@ -2,10 +2,13 @@
 
 Equal vectors are first reduced to one row with their smallest ids, so a vector that many rows share costs one row. A
 bounded sample gives pivots; every vector belongs to the cell of its nearest pivot. Cells are summarised: their size,
-radius and largest norms. For each chunk of queries of one cell, the summaries bound from below the score of its k-th
-best partner and from above the score that any member of a cell, or any single vector, can reach with the chunk. Only
-vectors whose bound reaches the chunk's k-th score are sent to it, and each chunk is solved locally, block by block.
-Results depend neither on the pivots nor on the cells.
+radius, and how far their members reach along the pivot and across it. Each query has a threshold of its own, the score
+that k partners in the sample reach, and the summaries bound what any member of a cell can score with it. A query goes
+only to the blocks, cells or parts of cells of bounded size, whose bound reaches its threshold; a block's vectors go only
+where queries wait for them. Each pair of a block and a chunk of queries is solved locally, and what reaches the
+thresholds is merged. Results depend neither on the pivots nor on the cells.
+
+What the driver holds is the sample, the pivots and a summary of each cell and block, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import stash, table
+from plexgraph.llm.common import Scratch, table
 
 _EXACT = float(2**52)
 
@@ -57,58 +60,104 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _split(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Along each pivot's direction, and each direction's length of the pivot (0 for a pivot at the origin)."""
+    length = np.sqrt((pivots**2).sum(1))
+    return x @ (pivots / np.maximum(length, 1e-300)[:, None]).T, length
+
+
 def _cells(rows: DataFrame, pivots: np.ndarray, code: str) -> DataFrame:
-    """rows with vec (ints, packed), cell, dist (to the pivot) and norm."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", vec binary, cell int, dist double, norm double"
-    width, half = pivots.shape[1], (pivots.astype(np.float64) ** 2).sum(1)
+    """rows with vec (ints, packed), cell, dist (to the pivot), norm, along and across (the pivot)."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", vec binary, cell int, dist double, norm double, along double, across double"
+    width, centre = pivots.shape[1], pivots.astype(np.float64)
+    half = (centre**2).sum(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             whole = _matrix(pdf["ints"], width)
             x = whole.astype(np.float64)
             square = (x**2).sum(1)
-            d2 = square[:, None] - 2 * (x @ pivots.T.astype(np.float64)) + half
-            cell = d2.argmin(1).astype(np.int32)
-            dist = np.sqrt(((x - pivots[cell]) ** 2).sum(1)) if len(x) else np.zeros(0)
-            yield pdf.assign(vec=[v.tobytes() for v in whole.astype(code)], cell=cell, dist=dist, norm=np.sqrt(square))
+            cell = (half - 2 * (x @ centre.T)).argmin(1).astype(np.int32)
+            dist = np.sqrt(((x - centre[cell]) ** 2).sum(1)) if len(x) else np.zeros(0)
+            along = _split(x, centre)[0][np.arange(len(x)), cell] if len(x) else np.zeros(0)
+            yield pdf.assign(vec=[v.tobytes() for v in whole.astype(code)], cell=cell, dist=dist, norm=np.sqrt(square), along=along, across=np.sqrt(np.maximum(square - along**2, 0)))
 
     return rows.mapInPandas(run, schema)
 
 
-def _thresholds(chunks: np.ndarray, radius: np.ndarray, pivots: np.ndarray, stats: dict[int, tuple], k: int) -> tuple[np.ndarray, dict]:
-    """For each chunk (centre, radius): a score that k partners reach at least, and what each cell can reach at most.
+def _bounds(q: np.ndarray, pivots: np.ndarray, cells: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    """What each query can score at most with a member of each cell. stats: radius, norm, least and most along, most across.
 
-    q = c + e and x = p + d give q.x = c.p + c.d + e.x, so |q.x - c.p| <= |c| r + R n, with r the cell's radius, R the
-    chunk's and n the largest norm in the cell.
+    With x = p + d, q.x <= q.p + |q| |d|; with both split along the pivot and across it, q.x <= q1 x1 + |q2| |x2|.
     """
-    c, p = chunks.astype(np.float64), pivots.astype(np.float64)
-    middle, length = c @ p.T, np.sqrt((c**2).sum(1))
-    best = np.full(len(c), -np.inf)
-    upper = {}
-    cells = sorted(stats)
-    if cells:
-        r, n, count = (np.array([stats[g][i] for g in cells], dtype=np.float64) for i in range(3))
-        slack = length[:, None] * r + radius[:, None] * n
-        low = middle[:, cells] - slack - 1e-6 * (1 + np.abs(middle[:, cells]))
-        order = np.argsort(-low, axis=1)
-        reached = np.cumsum(count[order], axis=1) >= k
-        for i in range(len(c)):
-            if reached[i].any():
-                best[i] = low[i, order[i, reached[i].argmax()]]
-        upper = {g: middle[:, g] + slack[:, j] for j, g in enumerate(cells)}
-    return best, upper
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64, chunk: int = 256, sample: int = 20_000, block_rows: int = 50_000, seed: int = 7) -> DataFrame:
+    p = pivots[cells].astype(np.float64)
+    size = np.sqrt((q**2).sum(1))[:, None]
+    along, _ = _split(q, p)
+    radius, _, low, high, across = stats.T
+    ball = q @ p.T + size * radius
+    slab = np.maximum(along * low, along * high) + np.sqrt(np.maximum(size**2 - along**2, 0)) * across
+    # Room for rounding, which is relative to the sizes that are added up.
+    return np.minimum(ball, slab) + 1e-6 * (1 + size * (1 + stats[:, 1]))
+
+
+def _thresholds(q: np.ndarray, sample: np.ndarray, keep: int) -> np.ndarray:
+    """A score that `keep` different vectors of the sample reach at least, for each query."""
+    if len(sample) < keep:
+        return np.full(len(q), -np.inf)
+    out = np.empty(len(q))
+    for at in range(0, len(q), 256):
+        scores = q[at : at + 256] @ sample.T
+        out[at : at + 256] = np.partition(scores, len(sample) - keep, axis=1)[:, len(sample) - keep]
+    return out - 1e-6 * (1 + np.abs(out))
+
+
+def _units(pivots: np.ndarray, counts: dict[int, int], block_rows: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """(first block, blocks) of each cell, and the number of blocks. Small cells whose pivots are near share a block."""
+    left, order = sorted(counts), []
+    while left:
+        f = pivots[left].astype(np.float64)
+        near = ((f - pivots[order[-1]]) ** 2).sum(1).argmin() if order else 0
+        order.append(left.pop(int(near)))
+    of, block, held = {}, 0, 0
+    for c in order:
+        if held and held + counts[c] > block_rows:
+            block, held = block + 1, 0
+        many = max(1, -(-counts[c] // block_rows))
+        of[c] = (block, many)
+        block, held = (block + many, 0) if many > 1 else (block, held + counts[c])
+    return of, block + (held > 0)
+
+
+def routes(unlike: DataFrame, sample: np.ndarray, centres: np.ndarray, cells: np.ndarray, stats: np.ndarray, keep: int, code: str) -> DataFrame:
+    """Query vectors (vec) with their threshold (low) and the numbers of the cells that may hold a partner (needs)."""
+    width = centres.shape[1]
+    sent = unlike.sparkSession.sparkContext.broadcast(sample.astype(code))  # bounded by the sample's size
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = sent.value.astype(np.float64)
+        for whole in batches:
+            for at in range(0, len(whole), 2000):
+                pdf = whole.iloc[at : at + 2000]
+                ints = _matrix(pdf["ints"], width)
+                q = ints.astype(np.float64)
+                low = _thresholds(q, known, keep)
+                reach = _bounds(q, centres, cells, stats) >= low[:, None]
+                yield pd.DataFrame({"vec": [v.tobytes() for v in ints.astype(code)], "low": low, "needs": [cells[r].tolist() for r in reach]})
+
+    return unlike.select("ints").mapInPandas(run, "vec binary, low double, needs array<int>")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, chunk: int = 2000, sample: int = 20_000, block_rows: int | None = None, seed: int = 7) -> DataFrame:
     """Each query's k partners with the highest inner product: query_id, rank, vec_id, score.
 
     vectors, queries: (vec_id, ints), queries being some of vectors. A query is not its own partner; ties go to the
     smaller id. Fewer partners than k give fewer rows. Missing components count as 0 where lengths differ; empty vectors
     score 0; rows that repeat an id count once; no queries or vectors give no rows. sample bounds the vectors from which
-    pivots are drawn and the k-th scores are first bounded; it changes the cost, never the result.
+    pivots and thresholds are drawn; pivots, chunk and block_rows bound the cells, the queries and the vectors that one
+    task holds (block_rows by itself: a 64th of all, from 2,000 to 20,000). They change the cost, never the result.
     """
     spark = vectors.sparkSession
-    key = F.xxhash64("ints")
+    stash = Scratch(spark)
     width, most = vectors.agg(F.max(F.size("ints")), F.max(F.greatest(F.array_max("ints"), -F.array_min("ints")))).first()
     width, code = width or 1, _code(most or 0)
     keep = k + 1
@@ -124,83 +173,87 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64,
     distinct = stash(few, "knn-vectors")
     total = distinct.count()
     asked = stash(queries.dropDuplicates(["vec_id", "ints"]), "knn-queries")
+    if not total or asked.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # Pivots: from a hash sample of bounded size, spread out by farthest-point steps.
-    share = min(1.0, sample / max(1, total))
-    drawn = distinct.filter(F.pmod(F.xxhash64("ints", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("ints", F.size("ids").alias("n")).collect()
-    drawn.sort(key=lambda r: r["ints"])
-    x = _matrix([r["ints"] for r in drawn], width)
-    centres = _spread(x, min(pivots, max(1, len(x)))) if len(x) else np.zeros((1, width), dtype=np.int64)
+    share = min(1.0, sample / total)
+    drawn = distinct.filter(F.pmod(F.xxhash64("ints", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("ints").collect()
+    x = _matrix(sorted(r["ints"] for r in drawn), width)
+    centres = _spread(x, min(pivots, len(x))) if len(x) else np.zeros((1, width), dtype=np.int64)
 
     data = stash(_cells(distinct, centres, code).drop("ints"), "knn-cells")
-    stats = {r["cell"]: (r["r"], r["n"], r["c"]) for r in data.groupBy("cell").agg(F.max("dist").alias("r"), F.max("norm").alias("n"), F.sum(F.size("ids")).alias("c")).collect()}
-    # Chunks of queries: distinct query vectors of one cell, dealt by hash into so many that each is small.
-    # As many query cells as chunks are needed, since each vector may be sent to each.
+    stash.drop(distinct)
+    sums = data.groupBy("cell").agg(F.max("dist"), F.max("norm"), F.min("along"), F.max("along"), F.max("across"), F.count(F.lit(1))).collect()
+    sums.sort()
+    cells = np.array([r[0] for r in sums], dtype=np.int32)
+    stats = np.array([r[1:6] for r in sums], dtype=np.float64)
+    block_rows = block_rows or max(2000, min(20_000, total // 64))
+    units, _ = _units(centres, {r[0]: r[6] for r in sums}, block_rows)
+    at = F.create_map(*[F.lit(v) for c, (u, _) in sorted(units.items()) for v in (c, u)])
+    many = F.create_map(*[F.lit(v) for c, (_, n) in sorted(units.items()) for v in (c, n)])
+
     unlike = asked.select("ints").distinct()
-    groups = centres[: max(1, -(-unlike.count() // chunk))]
-    own = stash(_cells(unlike, groups, code), "knn-asked")
-    per = {r["cell"]: -(-r["c"] // chunk) for r in own.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).collect()}
-    if not per:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    names = sorted((c, s) for c, n in per.items() for s in range(n))
-    number = {c: names.index((c, 0)) for c in per}
-    at = F.create_map(*[F.lit(v) for c, n in number.items() for v in (c, n)])
-    many = F.create_map(*[F.lit(v) for c, n in per.items() for v in (c, int(n))])
-    own = own.withColumn("chunk", (at[F.col("cell")] + F.pmod(key, many[F.col("cell")])).cast("int"))
-    radius = {r["chunk"]: r["r"] for r in own.groupBy("chunk").agg(F.max("dist").alias("r")).collect()}
-    middle = groups[[c for c, _ in names]]
-    radii = np.array([radius.get(i, 0.0) for i in range(len(names))])
-    low, upper = _thresholds(middle, radii, centres, stats, k + 1)
-    # The sample gives a second bound: k partners in it reach this score with the chunk's worst query.
-    low = np.maximum(low, _sampled(middle, radii, x, [r["n"] for r in drawn], k + 1))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                pdf = whole.iloc[at : at + 500]
-                v = _packed(pdf["vec"], width, code).astype(np.float64)
-                reach = v @ middle.T.astype(np.float64) + pdf["norm"].to_numpy()[:, None] * radii
-                by_cell = np.stack([upper[c] for c in pdf["cell"]])
-                row, chunk_no = np.nonzero((reach + 1e-6 * (1 + np.abs(reach)) >= low) & (by_cell + 1e-6 * (1 + np.abs(by_cell)) >= low))
-                sent_rows = pdf.iloc[row]
-                yield pd.DataFrame({"chunk": chunk_no.astype(np.int32), "block": sent_rows["block"].to_numpy(), "vec": sent_rows["vec"].to_numpy(), "ids": sent_rows["ids"].to_numpy()})
-
-    # Blocks bound what one task holds of the vectors sent to a chunk.
-    blocks = -(-total // block_rows) or 1
-    sent = data.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int")).mapInPandas(route, "chunk int, block int, vec binary, ids array<bigint>")
+    routed = stash(routes(unlike, x, centres, cells, stats, keep, code), "knn-routes")
+    chunks = -(-routed.count() // chunk)
+    each = F.array_distinct(F.flatten(F.transform("needs", lambda c: F.sequence(at[c], at[c] + many[c] - 1))))
+    own = routed.select("vec", "low", F.explode(each).alias("unit"), F.pmod(F.xxhash64("vec"), F.lit(chunks)).cast("int").alias("chunk"))
+    waiting = stash(own.select("unit", "chunk").distinct(), "knn-waiting")
+    unit = at[F.col("cell")] + F.pmod(F.xxhash64("vec"), many[F.col("cell")]).cast("int")
+    sent = data.select(unit.alias("unit"), "cell", "vec", "ids").join(waiting, "unit")
 
     def solve(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q = _packed(left["vec"], width, code)
+        rows = []
+        if not len(left) or not len(right):
+            return pd.DataFrame(rows, columns=["vec", "vec_ids", "scores"])
+        q, low = _packed(left["vec"], width, code), left["low"].to_numpy()
+        right = right.sort_values("cell", kind="stable")
+        of = right["cell"].to_numpy()
         ids = [np.asarray(i, dtype=np.int64) for i in right["ids"]]
         counts = np.array([len(i) for i in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         v = _packed(right["vec"], width, code)
-        rows = []
+        here = np.unique(of)
+        place = np.searchsorted(cells, here)
+        edges = np.append(np.searchsorted(of, here), len(of))
         for start in range(0, len(q), 64):
-            scores = _product(q[start : start + 64], v)
+            part = q[start : start + 64]
+            reach = _bounds(part.astype(np.float64), centres, here, stats[place]) >= low[start : start + 64, None]
+            # Cells that no query of the slice needs are left out.
+            cols = np.concatenate([np.arange(edges[j], edges[j + 1]) for j in np.flatnonzero(reach.any(0))] or [np.zeros(0, dtype=np.int64)])
+            if not len(cols):
+                continue
+            scores = _product(part, v[cols])
             for i, s in enumerate(scores):
                 # Vectors alone, each standing for at least one id: those below the (k+1)-th best score cannot matter.
-                pool = np.flatnonzero(s >= np.partition(s, len(s) - keep)[len(s) - keep]) if len(s) > keep else np.arange(len(s))
-                got = np.repeat(s[pool], counts[pool])
-                who = np.concatenate([ids[j] for j in pool]) if len(pool) else flat[:0]
+                least = np.partition(s, len(s) - keep)[len(s) - keep] if len(s) > keep else -np.inf
+                pool = np.flatnonzero(s >= max(least, low[start + i]))
+                if not len(pool):
+                    continue
+                got = np.repeat(s[pool], counts[cols[pool]])
+                who = np.concatenate([ids[j] for j in cols[pool]])
                 best = np.lexsort((who, -got))[:keep]
-                rows.append((left["ints"].iloc[start + i], who[best].tolist(), got[best].tolist()))
-        return pd.DataFrame(rows, columns=["ints", "vec_ids", "scores"])
-
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    solved = (
-        own.select("chunk", "ints", "vec", each).groupBy("chunk", "block")
-        .cogroup(sent.groupBy("chunk", "block"))
-        .applyInPandas(solve, "ints array<bigint>, vec_ids array<bigint>, scores array<bigint>")
-    )
-    one = solved.select("ints", F.explode(F.arrays_zip("vec_ids", "scores")).alias("_p"))
-    best = Window.partitionBy("ints").orderBy(F.col("_p.scores").desc(), "_p.vec_ids")
+                rows.append((left["vec"].iloc[start + i], who[best].tolist(), got[best].tolist()))
+        return pd.DataFrame(rows, columns=["vec", "vec_ids", "scores"])
+
+    solved = own.groupBy("unit", "chunk").cogroup(sent.groupBy("unit", "chunk")).applyInPandas(solve, "vec binary, vec_ids array<bigint>, scores array<bigint>")
+    one = solved.select("vec", F.explode(F.arrays_zip("vec_ids", "scores")).alias("_p"))
+    best = Window.partitionBy("vec").orderBy(F.col("_p.scores").desc(), "_p.vec_ids")
     ranked = one.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= keep)
-    lists = ranked.groupBy("ints").agg(F.array_sort(F.collect_list(F.struct("_n", "_p.vec_ids", "_p.scores"))).alias("_best"))
-    found = stash(lists.withColumn("key", key), "knn-found")
-    pairs = asked.withColumn("key", key).join(found.withColumnRenamed("ints", "_ints"), "key").filter(F.col("ints") == F.col("_ints"))
+    lists = ranked.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("_n", "_p.vec_ids", "_p.scores"))).alias("_best"))
+    found = stash(lists, "knn-found")
+    named = stash(_packed_again(asked, width, code), "knn-named")
     zipped = F.filter("_best", lambda p: p["vec_ids"] != F.col("vec_id"))
-    one = pairs.select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(zipped, 1, k)).alias("_at", "_p"))
-    return one.select("query_id", (F.col("_at") + 1).alias("rank"), F.col("_p.vec_ids").alias("vec_id"), F.col("_p.scores").alias("score"))
+    ranks = named.join(found, "vec").select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(zipped, 1, k)).alias("_at", "_p"))
+    out = stash(ranks.select("query_id", (F.col("_at") + 1).alias("rank"), F.col("_p.vec_ids").alias("vec_id"), F.col("_p.scores").alias("score")), "knn-ranks")
+    stash.close(out)
+    return out
+
+
+def _packed_again(asked: DataFrame, width: int, code: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "vec": [v.tobytes() for v in _matrix(pdf["ints"], width).astype(code)]})
+
+    return asked.select("vec_id", "ints").mapInPandas(run, "vec_id long, vec binary")
 
 
 def _spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -217,23 +270,6 @@ def _spread(x: np.ndarray, n: int) -> np.ndarray:
     return x[picked]
 
 
-def _sampled(chunks: np.ndarray, radius: np.ndarray, x: np.ndarray, counts: list[int], k: int) -> np.ndarray:
-    """For each chunk the k-th highest of c.x - R|x| over a sample: no query of the chunk scores less with those k."""
-    out = np.full(len(chunks), -np.inf)
-    if not len(x):
-        return out
-    f, n = x.astype(np.float64), np.array(counts)
-    norm = np.sqrt((f**2).sum(1))
-    for i, (c, r) in enumerate(zip(chunks.astype(np.float64), radius)):
-        low = f @ c - r * norm
-        order = np.argsort(-low)
-        reached = np.cumsum(n[order]) >= k
-        if reached.any():
-            least = low[order[reached.argmax()]]
-            out[i] = least - 1e-6 * (1 + abs(least))
-    return out
-
-
 def op1(spark, sf_dir: str) -> DataFrame:
     vectors = scaled(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))

@@ -52,3 +52,29 @@ def test_wide_values_stay_exact(spark):
     v = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = topk.top_k(v, v, 3)
     assert sorted(map(tuple, got.collect())) == brute(rows, range(30), 3)
+
+
+def _share(spark, rows, every, pivots):
+    """The share of (query, cell) pairs that are looked at."""
+    import numpy as np
+
+    v = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    x = np.array([r.ints for r in v.orderBy("vec_id").collect()])
+    centres = topk._spread(x, pivots)
+    data = topk._cells(v, centres, "<i2")
+    sums = sorted(data.groupBy("cell").agg(F.max("dist"), F.max("norm"), F.min("along"), F.max("along"), F.max("across")).collect())
+    cells, stats = np.array([r[0] for r in sums], dtype=np.int32), np.array([r[1:] for r in sums], dtype=float)
+    got = topk.routes(v.filter(F.col("vec_id") % every == 0), x, centres, cells, stats, 21, "<i2").collect()
+    return sum(len(r.needs) for r in got) / (len(got) * len(cells))
+
+
+def test_clustered_vectors_are_pruned(spark):
+    import random
+
+    rng = random.Random(5)
+    middles = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [m + rng.gauss(0, 0.08) for m in middles[i % 40]]) for i in range(4000)]
+    assert _share(spark, rows, 20, 40) < 0.1
+    v = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(v, v.filter("vec_id % 200 = 0"), 20, pivots=40, chunk=8, block_rows=300)
+    assert sorted(map(tuple, got.collect())) == brute(rows, range(0, 4000, 200), 20)
