@@ -4,7 +4,8 @@ Documents longer than a sequence are cut into full pieces plus a shorter first p
 themselves. The rest are dealt into groups of bounded size by a salted number, so no key can crowd a group. In each
 group, best fit decreasing opens bins; then bins short of tokens take from the emptiest bins whatever brings them
 nearest to full: one document moved, one exchanged for one, or two for one, each raising the sum of squared fills,
-until bins empty. Pieces in bins that are still not full go on to a next, smaller round with those of other groups.
+until none does. Pieces in bins that are still not full go on to a next, smaller round with those of other groups, as
+long as rounds fill bins.
 """
 
 from __future__ import annotations
@@ -104,51 +105,58 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = 12, donors: int = 8, tries: int = 400) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Exchange documents between bins that are not full until no exchange raises the sum of squared fills.
 
-    Each round takes the emptiest bins as donors. A receiver tries, against each donor, to move one document in, to
-    swap one for a larger one, or to swap one for two that are larger together; the exchange that leaves the least
-    space is made. Bins that lose all documents are dropped.
+    Each round goes through the bins as donors, the emptiest first. All other open bins at once are asked what they would
+    take: one of the donor's documents, one for a smaller one of theirs, or two for one; the exchange that leaves the
+    least space is made, and the donor goes on until none is left. Bins that lose all documents are dropped. Every
+    exchange raises a sum that is bounded, so the rounds end by themselves.
     """
-    bins = [list(b) for b in bins]
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        open_ = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        if len(open_) < 2:
-            break
-        gained = 0
-        for d in open_[:donors]:
-            for a in sorted((b for b in open_ if b != d and bins[b] and fill[b] < capacity), key=lambda b: (-fill[b], b))[:tries]:
-                if not bins[d]:
+    size, count = np.array(sizes, dtype=np.int64), len(bins)
+    where = np.zeros(len(sizes), dtype=np.int64)
+    for k, members in enumerate(bins):
+        where[members] = k
+    fill = np.bincount(where, weights=size, minlength=count).astype(np.int64)
+    gained = True
+    while gained:
+        gained = False
+        for d in sorted(np.flatnonzero((fill > 0) & (fill < capacity)).tolist(), key=lambda k: (fill[k], k)):
+            while 0 < fill[d] < capacity:
+                open_ = (fill > 0) & (fill < capacity)
+                open_[d] = False
+                takers = np.flatnonzero(open_)
+                if not len(takers):
                     break
-                room, best = capacity - fill[a], (0, None, ())
-                own = sorted({sizes[i]: i for i in bins[d]}.items())
-                two = {own_x + own_y: (i, j) for n, (own_x, i) in enumerate(own) for own_y, j in own[n + 1 :]} if len(own) <= 40 else {}
-                offers = [(s, (i,)) for s, i in own] + list(two.items())
-                wanted = [(0, None)] + [(sizes[y], y) for y in bins[a]]
-                for size, given in offers:
-                    for back, y in wanted:
-                        gain = size - back
-                        if best[0] < gain <= room and gain > fill[d] - fill[a] and not (y is None and len(given) > 1):
-                            best = (gain, y, given)
-                    if best[0] == room:
-                        break
-                gain, y, given = best
-                if not gain:
-                    continue
-                for i in given:
-                    bins[d].remove(i)
-                    bins[a].append(i)
-                if y is not None:
-                    bins[a].remove(y)
-                    bins[d].append(y)
-                fill[a] += gain
-                fill[d] -= gain
-                gained += gain
-        if not gained:
-            break
-    return [b for b in bins if b]
+                own = np.flatnonzero(where == d)
+                own = own[np.argsort(size[own], kind="stable")]
+                # Two documents of one size are as good as any more of them.
+                own = own[(np.arange(len(own)) < 2) | (size[own] != np.roll(size[own], 2))]
+                one, two = np.triu_indices(len(own), 1)
+                given = np.concatenate([size[own], size[own[one]] + size[own[two]]])
+                theirs = np.flatnonzero(open_[where])
+                back, taker = np.concatenate([np.zeros(len(takers), dtype=np.int64), size[theirs]]), np.concatenate([takers, where[theirs]])
+                room, least = capacity - fill[taker], np.maximum(fill[d] - fill[taker], 0)
+                gain = given[:, None] - back
+                good = (gain > least) & (gain <= room)
+                good[len(own) :, : len(takers)] = False
+                left = np.where(good, room - gain, capacity)
+                best = int(left.argmin())
+                o, y = divmod(best, len(back))
+                if left[o, y] == capacity:
+                    break
+                a = int(taker[y])
+                moved = [own[o]] if o < len(own) else [own[one[o - len(own)]], own[two[o - len(own)]]]
+                where[moved] = a
+                if y >= len(takers):
+                    where[theirs[y - len(takers)]] = d
+                fill[a] += gain[o, y]
+                fill[d] -= gain[o, y]
+                gained = True
+    out: list[list[int]] = [[] for _ in range(count)]
+    for i, k in enumerate(where.tolist()):
+        out[k].append(i)
+    return [b for b in out if b]
 
 
 def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -190,7 +198,8 @@ def pack(docs: DataFrame, capacity: int = 1024, group_rows: int = 4000, id_col:
         groups = -(-left // group_rows)
         tried = stash(_pack_round(rest, groups, number, capacity), "pack-round")
         open_ = tried.filter(~F.col("full")).count()
-        again = groups > 1 and open_ <= left // 2
+        # Bins that are not full meet those of other groups once at least, and on while a tenth of the pieces find a place.
+        again = groups > 1 and (number == 0 or 10 * open_ <= 9 * left)
         done = tried.filter("full") if again else tried
         placed = placed.unionByName(done.select("uid", "sequence_id", "offset"))
         if not again:

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 
@@ -66,3 +67,29 @@ def test_exchanges_of_each_kind():
     two_for_one = packing.local_search([[0, 1], [2, 3, 4]], [7, 2, 1, 2, 4], 10)
     assert max(sum([7, 2, 1, 2, 4][i] for i in b) for b in two_for_one) == 10
     assert len(packing.local_search([[0], [1]], [4, 5], 10)) == 1  # one move empties a bin
+
+
+def test_search_ends_only_where_no_exchange_is_left():
+    rng = random.Random(12)
+    for _ in range(40):
+        sizes = [rng.randrange(1, 40) for _ in range(rng.randrange(2, 30))]
+        out = packing.local_search(packing.best_fit(sizes, 50), sizes, 50)
+        fill = [sum(sizes[i] for i in b) for b in out]
+        for d, donor in enumerate(out):
+            for a, receiver in enumerate(out):
+                if a == d or fill[a] == 50 or fill[d] == 50:
+                    continue
+                gains = [sizes[i] - back for i in donor for back in [0, *(sizes[y] for y in receiver)]]
+                gains += [sizes[i] + sizes[j] - sizes[y] for i in donor for j in donor if i < j for y in receiver]
+                assert not any(0 < g <= 50 - fill[a] and g > fill[d] - fill[a] for g in gains)
+
+
+def test_ids_equal_the_named_tokenizer(spark):
+    """Every text of the test data, and strings that tokenizers trip over."""
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    odd = ["'s 'LL ", "\u00a0", "\u2028", "\t\r\n", "  \n\n ", "\U0001f642", "e\u0301", "\u0000", "\ufffd", "123456", "١٢٣", "ǅ", "ß", "漢字", "<|endoftext|>", "<|endo", "don't", "\u200d", "…", "½"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(1, 30))) for _ in range(1500)] + ["a" * 3000, " " * 3000, "x1" * 2000]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] if os.path.exists("/root/testdata/sf0.01") else []
+    for t in texts:
+        assert packing.token_ids(t).tolist() == [*exact.encode(t or "", add_special_tokens=False).ids, 2]
