@@ -151,21 +151,29 @@ def _features(rows: DataFrame, columns: list[str]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> Trees:
     """Fit on labelled documents that are not held out: all of them, or about `most` picked by a hash of the id.
 
-    Only features, labels and ids of the sample reach the driver. Rows are sorted first, so reruns agree.
+    Only features, labels and ids of the sample reach the driver, one row an id: of rows that share an id, or labels that
+    disagree, the least label and statistics count, so that repeated ids do not outgrow the bound. Rows are sorted first,
+    so reruns agree. Null ids, and labels other than 0 and 1, are never trained on.
     """
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     count = known.count()
     share = min(1.0, most / count) if count else 1.0
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30)))
     # The sample has a bounded number of ids, so it may be sent to every executor.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "doc_id")
-    got = sorted((r["doc_id"], r["y"], r["_x"]) for r in _features(rows.select("doc_id", "y", "_text"), ["doc_id", "y"]).collect())
+    each = _features(rows.select("doc_id", "y", "_text"), ["doc_id", "y"])
+    one = each.groupBy("doc_id").agg(F.min(F.struct("y", "_x")).alias("_r")).select("doc_id", "_r.y", "_r._x")
+    got = sorted((r["doc_id"], r["y"], r["_x"]) for r in one.collect())
     x = np.array([r[2] for r in got]).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r[1] for r in got], dtype=np.float64), **how)
 
 
 def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
-    """doc_id and score of every row; with keep, the columns of docs and one of that name with the score."""
+    """doc_id and score of every row; with keep, the columns of docs and one of that name with the score.
+
+    A null or empty text has all statistics 0 and is scored like any other; null ids and repeated rows are scored row by
+    row; other columns are not looked at; an empty table gives no rows."""
 
     rows = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     columns = docs.columns if keep else ["doc_id"]

@@ -67,3 +67,12 @@ def test_sample_bound(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     small = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"), most=150)
     assert small.score(np.array([quality.statistics(rows[1][1])]))[0] > 0.5
+
+
+def test_repeated_ids_count_once(spark):
+    rows, labels = corpus(120)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs, known = spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id long, quality int")
+    again = spark.createDataFrame(rows + [rows[1]] * 400, schema), spark.createDataFrame(labels + [labels[1]] * 50, "doc_id long, quality int")
+    one, two = quality.train(docs, known), quality.train(*again)
+    assert np.array_equal(one.value, two.value) and np.array_equal(one.cut, two.cut) and one.base == two.base
