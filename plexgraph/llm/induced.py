@@ -9,132 +9,201 @@ to disk when memory is full. A pushed tuple's common prefix is one more than the
 last push under its symbol.
 
 Everything is exact to a depth: suffixes that agree that far may come in any order, and common prefixes stop there.
+
+Every array with an item for each suffix, substring or symbol (types, starts, names, orders, common prefixes, what the
+queues hold) is a file of the given folder once it has more than `memory` items; what is worked on in memory at a time is
+a multiple of `memory`, not of the text.
 """
 
 from __future__ import annotations
 
 import heapq
 import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 
 
+def scratch(folder: str, n: int, dtype, memory: int) -> np.ndarray:
+    """n items, on disk if they are more than memory. The file has no name any more and goes with the array."""
+    if n <= memory:
+        return np.empty(n, dtype=dtype)
+    with tempfile.TemporaryFile(dir=folder) as f:
+        f.truncate(n * np.dtype(dtype).itemsize)
+        return np.memmap(f, dtype=dtype, mode="r+", shape=(n,))
+
+
+def pieces(n: int, memory: int) -> Iterator[tuple[int, int]]:
+    for at in range(0, n, memory):
+        yield at, min(n, at + memory)
+
+
+#: Ranges that a queue over more than four times as many symbols deals its tuples into.
+FAN = 256
+
+
 class Queue:
-    """A priority queue of (symbol, position, prefix) tuples; buckets beyond `memory` tuples are on disk."""
+    """A priority queue of (symbol, position, prefix) tuples; arrays beyond `memory` tuples go to disk.
 
-    def __init__(self, folder: str, memory: int, sign: int):
-        self.memory, self.sign = memory, sign
+    A small alphabet, or as few tuples as fit in memory, have a bucket for each symbol. A large one is cut into ranges of
+    symbols, whose tuples wait unsorted; the range that is next becomes a queue of its own.
+    """
+
+    def __init__(self, folder: str, memory: int, sign: int, symbols: int, items: int, base: int = 0):
+        self.folder, self.memory, self.sign, self.base = folder, memory, sign, base
+        self.wide = 1 if symbols <= 4 * FAN or items <= memory else -(-symbols // FAN)
         self.heap: list[int] = []
         self.buckets: dict[int, list] = {}
+        self.inner: dict[int, Queue] = {}
         self.held = self.spilled = 0
-        self.path = os.path.join(folder, f"queue{id(self)}")
-        self.file = open(self.path, "w+b")
+        self.file = None
+
+    def _group(self, symbol):
+        return symbol if self.wide == 1 else (symbol - self.base) // self.wide
 
     def push(self, symbols: np.ndarray, positions: np.ndarray, prefixes: np.ndarray) -> None:
         if not len(symbols):
             return
         order = np.argsort(symbols, kind="stable")
         s, p, l = symbols[order], positions[order], prefixes[order]
-        edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+        g = self._group(s)
+        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            c = int(s[a])
+            c = int(g[a])
             if c not in self.buckets:
                 self.buckets[c] = []
                 heapq.heappush(self.heap, self.sign * c)
-            self.buckets[c].append((p[a:b], l[a:b]))
-        self.held += len(s)
+            if c in self.inner:
+                self.inner[c].push(s[a:b], p[a:b], l[a:b])
+                continue
+            self.buckets[c].append((p[a:b], l[a:b]) if self.wide == 1 else (p[a:b], l[a:b], s[a:b].astype(np.int64)))
+            self.held += b - a
         if self.held > self.memory:
             self.spill()
 
     def spill(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(dir=self.folder)
         self.file.seek(0, os.SEEK_END)
         for parts in self.buckets.values():
-            mine = [x for x in parts if len(x) == 2]
+            mine = [x for x in parts if not isinstance(x, list)]
             if not mine:
                 continue
-            p, l = (np.concatenate([x[i] for x in mine]) for i in (0, 1))
-            at = self.file.tell()
-            self.file.write(p.astype("<i8").tobytes())
-            self.file.write(l.astype("u1").tobytes())
-            # What is in memory came after all that is on disk.
-            parts[:] = [x for x in parts if len(x) == 3] + [(at, len(p), len(p))]
-            self.spilled += len(p)
+            arrays = [np.concatenate([x[i] for x in mine]) for i in range(len(mine[0]))]
+            at, n = self.file.tell(), len(arrays[0])
+            for x, kind in zip(arrays, ("<i8", "u1", "<i8")):
+                self.file.write(x.astype(kind).tobytes())
+            # What is in memory came after all that is on disk. On disk: where, tuples taken, tuples.
+            parts[:] = [x for x in parts if isinstance(x, list)] + [[at, 0, n]]
+            self.spilled += n
         self.held = 0
 
-    def first(self) -> int | None:
-        return self.sign * self.heap[0] if self.heap else None
-
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """The next tuples of a symbol, at most `memory`; None if there are none now."""
-        parts = self.buckets.get(symbol)
+    def _take(self, group: int) -> tuple[np.ndarray, ...] | None:
+        """The next tuples of a bucket, at most `memory` of those on disk; None if there are none now."""
+        parts = self.buckets.get(group)
         if not parts:
             return None
-        if len(parts[0]) == 2:
-            mine, self.buckets[symbol] = parts, []
-            p, l = (np.concatenate([x[i] for x in mine]) for i in (0, 1))
-            self.held -= len(p)
-            return p, l
-        at, left, whole = parts[0]
-        n = min(left, self.memory)
-        skip = whole - left
-        self.file.seek(at + 8 * skip)
-        p = np.frombuffer(self.file.read(8 * n), dtype="<i8")
-        self.file.seek(at + 8 * whole + skip)
-        l = np.frombuffer(self.file.read(n), dtype="u1")
-        if n == left:
+        if not isinstance(parts[0], list):
+            mine, self.buckets[group] = parts, []
+            out = tuple(np.concatenate([x[i] for x in mine]) for i in range(len(mine[0])))
+            self.held -= len(out[0])
+            return out
+        at, taken, whole = parts[0]
+        n = min(whole - taken, self.memory)
+        out = []
+        for before, kind in ((0, "<i8"), (8 * whole, "u1"), (9 * whole, "<i8"))[: 2 if self.wide == 1 else 3]:
+            size = np.dtype(kind).itemsize
+            self.file.seek(at + before + size * taken)
+            out.append(np.frombuffer(self.file.read(size * n), dtype=kind))
+        if taken + n == whole:
             parts.pop(0)
         else:
-            parts[0] = (at, left - n, whole)
-        return p, l
+            parts[0] = [at, taken + n, whole]
+        return tuple(out)
+
+    def _open(self, group: int) -> "Queue":
+        if group not in self.inner:
+            items = sum(x[2] - x[1] if isinstance(x, list) else len(x[0]) for x in self.buckets[group])
+            queue = Queue(self.folder, self.memory, self.sign, self.wide, items, self.base + group * self.wide)
+            while (got := self._take(group)) is not None:
+                queue.push(got[2], got[0], got[1])
+            self.inner[group] = queue
+        return self.inner[group]
+
+    def first(self) -> int | None:
+        while self.heap:
+            group = self.sign * self.heap[0]
+            if self.wide == 1:
+                return group
+            if (c := self._open(group).first()) is not None:
+                return c
+            self._drop(group)
+        return None
+
+    def _drop(self, group: int) -> None:
+        """Nothing waits in a bucket, which is the first one."""
+        del self.buckets[group]
+        heapq.heappop(self.heap)
+        if group in self.inner:
+            self.inner.pop(group).close()
+
+    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The next tuples of a symbol; None if there are none now."""
+        if self.wide == 1:
+            return self._take(symbol)
+        group = int(self._group(symbol))
+        return self._open(group).pop(symbol) if group in self.buckets else None
 
     def done(self, symbol: int) -> None:
         """No tuple of this symbol will come any more."""
-        if self.buckets.pop(symbol, None) is not None:
-            heapq.heappop(self.heap)
+        if self.wide > 1:
+            group = int(self._group(symbol))
+            if group in self.inner:
+                self.inner[group].done(symbol)
+        elif symbol in self.buckets:
+            self._drop(symbol)
 
     def close(self) -> None:
-        self.file.close()
-        os.unlink(self.path)
+        for queue in self.inner.values():
+            queue.close()
+        if self.file is not None:
+            self.file.close()
 
 
 class _Column:
-    """Positions and prefixes appended to disk, with the number of tuples of each symbol in order."""
+    """Positions and prefixes appended to disk."""
 
-    def __init__(self, folder: str, name: str):
-        self.paths = [os.path.join(folder, f"{name}{id(self)}.{k}") for k in ("p", "l")]
-        self.files = [open(p, "wb") for p in self.paths]
-        self.counts: list[tuple[int, int]] = []
+    def __init__(self, folder: str):
+        self.files = [tempfile.TemporaryFile(dir=folder) for _ in range(2)]
+        self.count = 0
 
-    def add(self, symbol: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
+    def add(self, positions: np.ndarray, prefixes: np.ndarray) -> None:
         self.files[0].write(positions.astype("<i8").tobytes())
         self.files[1].write(prefixes.astype("u1").tobytes())
-        if self.counts and self.counts[-1][0] == symbol:
-            self.counts[-1] = (symbol, self.counts[-1][1] + len(positions))
-        else:
-            self.counts.append((symbol, len(positions)))
+        self.count += len(positions)
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
         for f in self.files:
             f.flush()
-        if not self.counts:
+        if not self.count:
             return np.zeros(0, "<i8"), np.zeros(0, "u1")
-        return np.memmap(self.paths[0], dtype="<i8", mode="r"), np.memmap(self.paths[1], dtype="u1", mode="r")
+        return np.memmap(self.files[0], dtype="<i8", mode="r"), np.memmap(self.files[1], dtype="u1", mode="r")
 
     def close(self) -> None:
-        for f, p in zip(self.files, self.paths):
+        for f in self.files:
             f.close()
-            os.unlink(p)
 
 
 class _Prefixes:
     """Common prefixes of pushed tuples. latest[v] is the last source whose prefix was v or less; so the least prefix
     after source r is the first v whose latest lies beyond r."""
 
-    def __init__(self, depth: int, symbols: int):
+    def __init__(self, depth: int, symbols: int, folder: str, memory: int):
         self.depth = depth
         self.latest = np.full(depth + 1, -1, dtype=np.int64)
-        self.pushed = np.full(symbols, -1, dtype=np.int64)
+        self.pushed = scratch(folder, symbols, np.int64, memory)
+        self.pushed[:] = -1
         self.seen = 0
 
     def step(self, prefixes: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -176,10 +245,10 @@ class _Prefixes:
         return back
 
 
-def _types(text: np.ndarray, wide: int) -> np.ndarray:
+def _types(text: np.ndarray, folder: str, wide: int) -> np.ndarray:
     """True for S suffixes, from the right in pieces."""
     n = len(text)
-    out = np.empty(n, dtype=bool)
+    out = scratch(folder, n, bool, wide)
     out[n - 1] = True
     end = n - 1
     while end > 0:
@@ -244,51 +313,70 @@ def _in_memory(text: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
-def _named(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order and names (from 1, in text order) of the S* substrings text[start..end]. Substrings are dealt into ranges
-    of their first symbols that fit in memory, one range after the other. Where one ends and another goes on, the
-    latter's symbol there is that of an L suffix, so it comes first: the end counts as the largest symbol. The text's own
-    end counts as the smallest."""
-    bits = (int(text.max()) + 2).bit_length()
+def _stars(rises: np.ndarray, folder: str, memory: int) -> np.ndarray:
+    """Where S* suffixes start, and the text's last place, which ends the last S* substring."""
+    n = len(rises)
+    found = lambda lo, hi: np.flatnonzero(rises[lo + 1 : hi + 1] & ~rises[lo:hi]) + lo + 1
+    out = scratch(folder, 1 + sum(len(found(lo, hi)) for lo, hi in pieces(n - 1, memory)), np.int64, memory)
+    at = 0
+    for lo, hi in pieces(n - 1, memory):
+        here = found(lo, hi)
+        out[at : at + len(here)] = here
+        at += len(here)
+    out[at] = n - 1
+    return out
+
+
+def _named(text: np.ndarray, starts: np.ndarray, folder: str, memory: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order and names (from 1, in text order) of the S* substrings, each from one of starts to the next, which is part
+    of it; and the number of names. Substrings are dealt into ranges of their first symbols that fit in memory, one range
+    after the other. Where one ends and another goes on, the latter's symbol there is that of an L suffix, so it comes
+    first: the end counts as the largest symbol. The text's own end counts as the smallest."""
+    symbols = max((int(text[lo:hi].max()) for lo, hi in pieces(len(text), memory)), default=0)
+    bits = (symbols + 2).bit_length()
     past = (1 << bits) - 1
     per = max(1, 40 // bits)
-    ends_of = ends
 
     def key(which: np.ndarray, offset: int) -> np.ndarray:
         out = np.zeros(len(which), dtype=np.int64)
+        begin, end = np.asarray(starts[which]), np.asarray(starts[which + 1])
         for i in range(per):
-            at = starts[which] + offset + i
-            inside = at <= ends_of[which]
+            at = begin + offset + i
             symbol = np.where(at < len(text) - 1, text[np.minimum(at, len(text) - 1)].astype(np.int64) + 1, 0)
-            out = (out << bits) | np.where(inside, symbol, past)
+            out = (out << bits) | np.where(at <= end, symbol, past)
         return out
 
-    n = len(starts)
-    names, order = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    firsts = key(np.arange(n), 0)
+    n = len(starts) - 1
+    names, order = scratch(folder, n, np.int64, memory), scratch(folder, n, np.int64, memory)
+    firsts = scratch(folder, n, np.int64, memory)
+    for lo, hi in pieces(n, memory):
+        firsts[lo:hi] = key(np.arange(lo, hi), 0)
     ranges = max(1, -(-n // memory))
-    cuts = np.unique(np.quantile(firsts, np.linspace(0, 1, ranges + 1)[1:-1], method="lower")) if ranges > 1 else np.zeros(0, dtype=np.int64)
-    part = np.searchsorted(cuts, firsts, side="right")
+    cuts = np.zeros(0, dtype=np.int64)
+    if ranges > 1:
+        # Cut at quantiles of evenly spread substrings, of which as many are looked at as fit in memory.
+        cuts = np.unique(np.quantile(firsts[:: -(-n // memory)], np.linspace(0, 1, ranges + 1)[1:-1], method="lower"))
     done = name = 0
     for r in range(len(cuts) + 1):
-        ids = np.flatnonzero(part == r)
+        ids = np.concatenate([np.flatnonzero(np.searchsorted(cuts, firsts[lo:hi], side="right") == r) + lo for lo, hi in pieces(n, memory)] or [np.zeros(0, np.int64)])
         if not len(ids):
             continue
-        ids = ids[np.argsort(firsts[ids])]
-        f = firsts[ids]
+        f = np.asarray(firsts[ids])
+        turn = np.argsort(f)
+        ids, f = ids[turn], f[turn]
         group = np.concatenate([[0], np.cumsum(f[1:] != f[:-1])])
+        sizes = starts[ids + 1] - starts[ids]
         offset = per
         while True:
             # Only groups of several substrings that have not all ended need a closer look.
             size = np.bincount(group)
-            open_ = np.flatnonzero((size[group] > 1) & (starts[ids] + offset <= ends_of[ids] + 1))
-            open_ = open_[np.bincount(group[open_], minlength=len(size))[group[open_]] > 0]
+            open_ = np.flatnonzero((size[group] > 1) & (offset <= sizes + 1))
             if not len(open_):
                 break
             whole = np.flatnonzero(np.bincount(group[open_], minlength=len(size))[group] > 0)
             k = key(ids[whole], offset)
             turn = np.lexsort((k, group[whole]))
-            ids[whole], k = ids[whole][turn], k[turn]
+            ids[whole], sizes[whole], k = ids[whole][turn], sizes[whole][turn], k[turn]
             g = group[whole]
             split = np.zeros(len(ids), dtype=np.int64)
             split[whole[1:]] = (k[1:] != k[:-1]) & (g[1:] == g[:-1])
@@ -299,7 +387,31 @@ def _named(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, memory: int)
         name += int(group[-1]) + 1
         order[done : done + len(ids)] = ids
         done += len(ids)
-    return order, names
+    return order, names, name
+
+
+def _stop(text: np.ndarray, seeds: np.ndarray, seed: int, symbol: int) -> int:
+    """Where the seeds of a symbol end, which stand in order of their symbols: steps that double, then halves."""
+    lo, step = seed, 1
+    while lo + step < len(seeds) and int(text[seeds[lo + step]]) <= symbol:
+        lo, step = lo + step, 2 * step
+    hi = min(lo + step, len(seeds))
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if int(text[seeds[mid]]) <= symbol else (lo, mid)
+    return hi
+
+
+def _start(text: np.ndarray, positions: np.ndarray, end: int, symbol: int) -> int:
+    """Where the positions of a symbol begin that stand before end, looked for from there."""
+    hi, step = end - 1, 1
+    while hi - step >= 0 and int(text[positions[hi - step]]) == symbol:
+        hi, step = hi - step, 2 * step
+    lo = max(hi - step, -1)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if int(text[positions[mid]]) == symbol else (mid, hi)
+    return hi
 
 
 def _run(text: np.ndarray, at: int, depth: int) -> int:
@@ -312,33 +424,39 @@ def suffix_order(text: np.ndarray, depth: int, folder: str, memory: int = 4_000_
     """(positions, prefixes) of all suffixes in order, in pieces; a prefix is that with the suffix before.
 
     text: symbols of 0 and more, the last one 0 and the one before larger. memory: the suffixes that are worked on at a
-    time; text may be a memory map. depth is at most 255.
+    time and kept in memory; text may be a memory map. depth is at most 255. folder: scratch space on disk.
     """
     n = len(text)
     if n == 1:
         yield np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint8)
         return
-    rises = _types(text, memory)
-    stars = np.flatnonzero(rises[1:] & ~rises[:-1]) + 1
-    ends = np.append(stars[1:], n - 1)
-    order, names = _named(text, stars, ends, memory)
-    if len(stars) and int(names.max()) < len(stars):
-        reduced = np.append(names, 0)
+    rises = _types(text, folder, memory)
+    bounds = _stars(rises, folder, memory)
+    stars = bounds[:-1]
+    order, names, distinct = _named(text, bounds, folder, memory)
+    if len(stars) and distinct < len(stars):
+        reduced = scratch(folder, len(stars) + 1, np.int64, memory)
+        for lo, hi in pieces(len(stars), memory):
+            reduced[lo:hi] = names[lo:hi]
+        reduced[-1] = 0
         if len(reduced) <= memory:
             order = _in_memory(reduced, depth)[1:]
         else:
-            kept = [p for p, _ in suffix_order(reduced, depth, folder, memory)]
-            order = np.concatenate(kept)[1:]
-    seeds = stars[order]
-    near = np.zeros(len(seeds), dtype=np.int64)
-    for at in range(1, len(seeds), memory):
-        end = min(at + memory, len(seeds))
-        near[at:end] = _common(text, seeds[at - 1 : end - 1], seeds[at:end], depth)
-    symbols = int(text.max()) + 1
-
-    falls, ups = _Column(folder, "falls"), _Column(folder, "ups")
+            at = -1  # the end of the text comes first and is no substring
+            for p, _ in suffix_order(reduced, depth, folder, memory):
+                order[max(at, 0) : at + len(p)] = p[1:] if at < 0 else p
+                at += len(p)
+    seeds, near = scratch(folder, len(stars), np.int64, memory), scratch(folder, len(stars), np.uint8, memory)
+    for lo, hi in pieces(len(stars), memory):
+        seeds[lo:hi] = stars[order[lo:hi]]
+    near[:1] = 0
+    for lo, hi in pieces(len(seeds) - 1, memory):
+        near[lo + 1 : hi + 1] = _common(text, np.asarray(seeds[lo:hi]), np.asarray(seeds[lo + 1 : hi + 1]), depth)
+    symbols = max(int(text[lo:hi].max()) for lo, hi in pieces(n, memory)) + 1
+
+    falls, ups, zeros = _Column(folder), _Column(folder), False
     # L suffixes, upwards. Sources are L suffixes as they come out, then the S* suffixes of the symbol.
-    queue, prefixes, seed = Queue(folder, memory, 1), _Prefixes(depth, symbols), 0
+    queue, prefixes, seed = Queue(folder, memory, 1, symbols, n), _Prefixes(depth, symbols, folder, memory), 0
 
     def feed(pos: np.ndarray, pre: np.ndarray, want: bool) -> None:
         before = pos - 1
@@ -354,36 +472,37 @@ def suffix_order(text: np.ndarray, depth: int, folder: str, memory: int = 4_000_
         c = min(x for x in (c, star) if x is not None)
         last = None
         while (got := queue.pop(c)) is not None:
-            falls.add(c, *got)
+            falls.add(*got)
             last = int(got[0][-1])
             feed(*got, False)
         queue.done(c)
-        stop = seed + int(np.searchsorted(text[seeds[seed:]], c, side="right")) if star == c else seed
+        stop = _stop(text, seeds, seed, c) if star == c else seed
         while seed < stop:
             end = min(stop, seed + memory)
-            pos, pre = seeds[seed:end], near[seed:end].copy()
+            pos, pre = np.array(seeds[seed:end]), near[seed:end].astype(np.int64)
             if seed == 0 or int(text[seeds[seed - 1]]) != c:
                 pre[0] = min(_run(text, last, depth), _run(text, int(pos[0]), depth)) if last is not None else 0
             feed(pos, pre, False)
             seed = end
     queue.close()
     # S suffixes, downwards. Sources are S suffixes as they come out, then the L suffixes of the symbol, reversed.
-    queue, prefixes = Queue(folder, memory, -1), _Prefixes(depth, symbols)
+    queue, prefixes = Queue(folder, memory, -1, symbols, n), _Prefixes(depth, symbols, folder, memory)
     fall_p, fall_l = falls.read()
-    left, end = list(falls.counts), len(fall_p)
+    end = len(fall_p)
     while True:
-        c, fall = queue.first(), left[-1][0] if left else None
+        c, fall = queue.first(), int(text[fall_p[end - 1]]) if end else None
         if c is None and fall is None:
             break
         c = max(x for x in (c, fall) if x is not None)
         last = None
         while (got := queue.pop(c)) is not None:
-            ups.add(c, *got)
+            ups.add(*got)
+            zeros = zeros or c == 0
             last = int(got[0][-1])
             feed(*got, True)
         queue.done(c)
         if fall == c:
-            start, first = end - left.pop()[1], True
+            start, first = _start(text, fall_p, end, c), True
             while end > start:
                 lo = max(start, end - memory)
                 pos = np.asarray(fall_p[lo:end])[::-1]
@@ -397,20 +516,20 @@ def suffix_order(text: np.ndarray, depth: int, folder: str, memory: int = 4_000_
                 feed(pos, pre, True)
                 end = lo
     queue.close()
-    zeros = any(c == 0 for c, _ in ups.counts)
-    ups.add(0, np.array([n - 1]), np.array([int(zeros)]))
+    ups.add(np.array([n - 1]), np.array([int(zeros)]))
     # Both, symbol by symbol: L suffixes come before S suffixes. ups is in descending order.
     up_p, up_l = ups.read()
-    per_fall, per_up = dict(falls.counts), dict(ups.counts)
     at, end = 0, len(up_p)
-    for c in sorted(per_fall.keys() | per_up.keys()):
+    while at < len(fall_p) or end:
+        one, two = int(text[fall_p[at]]) if at < len(fall_p) else None, int(text[up_p[end - 1]]) if end else None
+        c = min(x for x in (one, two) if x is not None)
         last = None
-        stop = at + per_fall.get(c, 0)
+        stop = _stop(text, fall_p, at, c) if one == c else at
         while at < stop:
             hi = min(stop, at + memory)
             yield np.asarray(fall_p[at:hi]), np.asarray(fall_l[at:hi])
             last, at = int(fall_p[hi - 1]), hi
-        start = end - per_up.get(c, 0)
+        start = _start(text, up_p, end, c) if two == c else end
         head = True
         while end > start:
             lo = max(start, end - memory)

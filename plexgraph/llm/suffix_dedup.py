@@ -3,7 +3,8 @@
 Each 100-byte string is routed by its anchor, the 32 bytes in it whose hash is least; strings with one anchor form a
 segment, about 134 bytes for 35 strings. Equal strings have equal anchors, so they meet, and anchors that occur in one
 text only, once, need no further look: a first pass counts anchors, a second one emits the segments of the rest, past a
-filter of bounded size. Equal segments leave their earliest occurrence. Where an anchor stands in many different
+filter of bounded size. What a full filter lets through besides stands alone in its group and goes no farther. Equal
+segments leave their earliest occurrence. Where an anchor stands in many different
 segments, its segments are halved, and each half routed by the longer context that its strings share, until no group is
 large. Then each shard's suffixes are sorted by external induction (see induced.py); neighbours that share 100 bytes are
 equal strings, and all but the earliest are marked.
@@ -23,17 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import stash, table
-from plexgraph.llm.induced import suffix_order
+from plexgraph.llm.common import Scratch, table
+from plexgraph.llm.induced import pieces, scratch, suffix_order
 from plexgraph.llm.minhash import _BYTE, _powers_to, mixed
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
-#: Bits of the filter of repeated anchors at most; more anchors take more passes over the texts.
+#: Bits of the filter of repeated anchors at most; with more anchors it lets more segments through, never fewer.
 FILTER_BITS = 1 << 27
 #: Different segments of one anchor beyond which they are routed by longer contexts.
 HOT = 100
-SHARD_BYTES = 4 << 20
+#: Bytes of a shard, and the suffixes of it that are worked on in memory at a time; the rest is on the task's disk.
+SHARD_BYTES, MEMORY = 4 << 20, 1_500_000
 _PIECE = 1 << 20  # positions in a buffer have 20 bits
 _U = np.uint64
 LAST = (1 << 63) - 1
@@ -139,7 +141,7 @@ def _filter(repeated: DataFrame, bits: int) -> np.ndarray:
 _SEGMENT = "key long, off int, w int, ord long, dg long, s long, seg binary"
 
 
-def _emit(own: DataFrame, sent, bits: int, passes: int, turn: int) -> DataFrame:
+def _emit(own: DataFrame, sent, bits: int) -> DataFrame:
     """The segments whose anchor passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +151,7 @@ def _emit(own: DataFrame, sent, bits: int, passes: int, turn: int) -> DataFrame:
             for start, raws in _groups(batch, 2):
                 for doc, s, w, off, anchor in segments(raws):
                     a = anchor.view(np.uint64)
-                    hit = (a >> _U(56)) % _U(passes) == _U(turn)
+                    hit = np.ones(len(a), dtype=bool)
                     for p in (a & _U(bits - 1), (a >> _U(29)) & _U(bits - 1)):
                         hit &= (known[(p >> _U(6)).astype(np.int64)] >> (p & _U(63))) & _U(1) == _U(1)
                     at = np.flatnonzero(hit)
@@ -163,17 +165,18 @@ def _emit(own: DataFrame, sent, bits: int, passes: int, turn: int) -> DataFrame:
     return own.mapInArrow(run, _SEGMENT)
 
 
-def _earliest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _earliest(rows: DataFrame, put) -> tuple[DataFrame, DataFrame]:
     """Marks of all occurrences of equal segments but the earliest; and the earliest ones of keys with several kinds.
     uid, which is stored with the rows, tells rows of one place apart (repeated rows of the input)."""
-    rows = rows.withColumn("kind", F.xxhash64("seg", "off"))
-    first = stash(rows.groupBy("key", "kind").agg(F.min(F.struct("ord", "dg", "s", "uid")).alias("first")), "rep-first")
+    # Segments are told by two hashes of different order and seed, 128 bits.
+    rows = rows.withColumns({"kind": F.xxhash64("seg", "off"), "kind2": F.xxhash64(F.lit(7), "off", "seg")})
+    first = put(rows.groupBy("key", "kind", "kind2").agg(F.min(F.struct("ord", "dg", "s", "uid")).alias("first")), "rep-first")
     several = first.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    several = stash(several, "rep-keys")
-    copies = rows.select("key", "kind", "ord", "dg", "s", "w").join(first, ["key", "kind"]).filter(F.struct("ord", "dg", "s") != F.struct("first.ord", "first.dg", "first.s"))
+    several = put(several, "rep-keys")
+    copies = rows.select("key", "kind", "kind2", "ord", "dg", "s", "w").join(first, ["key", "kind", "kind2"]).filter(F.struct("ord", "dg", "s") != F.struct("first.ord", "first.dg", "first.s"))
     marks = copies.select("ord", "dg", F.col("s").alias("lo"), (F.col("s") + F.col("w") + (LENGTH - 1)).alias("hi"))
-    flat = first.join(several, "key").select("key", "kind", "kinds", "first.uid")
-    return marks, rows.join(flat, ["key", "kind", "uid"]).drop("kind")
+    flat = first.join(several, "key").select("key", "kind", "kind2", "kinds", "first.uid")
+    return marks, rows.join(flat, ["key", "kind", "kind2", "uid"]).drop("kind", "kind2")
 
 
 def _halved(rows: DataFrame) -> DataFrame:
@@ -193,26 +196,34 @@ def _halved(rows: DataFrame) -> DataFrame:
 
 
 def sort_shard(rows: Iterator[pa.RecordBatch], memory: int) -> Iterator[pa.RecordBatch]:
-    """Marks (ord, dg, lo, hi) of the strings of a shard's segments that start earlier in another place of the shard."""
-    with tempfile.TemporaryDirectory() as folder:  # scratch of this task only: text and queues
-        path = os.path.join(folder, "text")
-        sizes, columns = [], []
-        with open(path, "wb") as f:
-            for batch in rows:
-                segs = batch.column(batch.schema.get_field_index("seg")).to_pylist()
-                flat = np.frombuffer(b"\0".join(segs) + b"\0" if segs else b"", dtype=np.uint8).astype("<i2") + 1
-                n = np.array([len(x) for x in segs], dtype=np.int64)
-                flat[np.cumsum(n + 1) - 1] = 0
-                f.write(flat.tobytes())
-                sizes.append(n)
-                columns.append([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("ord", "dg", "s")])
-        if not sizes or not sum(map(len, sizes)):
+    """Marks (ord, dg, lo, hi) of the strings of a shard's segments that start earlier in another place of the shard.
+
+    Text, segments' columns and marked places are files of the task's scratch folder, which goes with the task; a lost
+    task starts anew from the stored segments."""
+    with tempfile.TemporaryDirectory() as folder:
+        files = [open(os.path.join(folder, name), "w+b") for name in ("text", "size", "ord", "dg", "s")]
+        for batch in rows:
+            segs = batch.column(batch.schema.get_field_index("seg")).to_pylist()
+            flat = np.frombuffer(b"\0".join(segs) + b"\0" if segs else b"", dtype=np.uint8).astype("<i2") + 1
+            n = np.array([len(x) for x in segs], dtype="<i8")
+            flat[np.cumsum(n + 1) - 1] = 0
+            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype("<i8") for c in ("ord", "dg", "s")]
+            for f, x in zip(files, (flat, n, *columns)):
+                f.write(x.tobytes())
+        for f in files:
+            f.flush()
+        if not os.path.getsize(files[1].name):
             return
-        text = np.memmap(path, dtype="<i2", mode="r")
-        size = np.concatenate(sizes)
-        ords, dgs, starts = (np.concatenate([c[i] for c in columns]) for i in range(3))
-        base = np.cumsum(size + 1) - size - 1
-        found: list[np.ndarray] = []
+        text = np.memmap(files[0], dtype="<i2", mode="r")
+        size, ords, dgs, starts = (np.memmap(f, dtype="<i8", mode="r") for f in files[1:])
+        base = scratch(folder, len(size), np.int64, memory)
+        at = 0
+        for lo, hi in pieces(len(size), memory):
+            ends = np.cumsum(size[lo:hi] + 1) + at
+            base[lo:hi] = ends - size[lo:hi] - 1
+            at = int(ends[-1])
+        marked = scratch(folder, len(text), bool, memory)
+        marked[:] = False
 
         def settle(pos: np.ndarray, group: np.ndarray) -> None:
             """All but the earliest of each group of equal strings."""
@@ -224,12 +235,12 @@ def sort_shard(rows: Iterator[pa.RecordBatch], memory: int) -> Iterator[pa.Recor
             if len(p):
                 place = starts[seg] + p - base[seg]
                 order = np.lexsort((place, dgs[seg], ords[seg], g))
-                seg, place, g = seg[order], place[order], g[order]
+                p, seg, place, g = p[order], seg[order], place[order], g[order]
                 later = np.concatenate([[False], g[1:] == g[:-1]])
                 # The same place may stand in two segments of one key: it is not earlier than itself.
                 lead = np.flatnonzero(~later)[np.cumsum(~later) - 1]
                 later &= (place != place[lead]) | (ords[seg] != ords[seg[lead]]) | (dgs[seg] != dgs[seg[lead]])
-                found.append(np.stack([ords[seg[later]], dgs[seg[later]], place[later]]))
+                marked[p[later]] = True
 
         held = np.zeros(0, dtype=np.int64)
         for pos, prefix in suffix_order(text, LENGTH, folder, memory):
@@ -241,16 +252,17 @@ def sort_shard(rows: Iterator[pa.RecordBatch], memory: int) -> Iterator[pa.Recor
             held = pos[open_]
         if len(held):
             settle(held, np.zeros(len(held), dtype=np.int64))
-        if found:
-            o, d, p = np.concatenate(found, axis=1)
-            order = np.lexsort((p, d, o))
-            o, d, p = o[order], d[order], p[order]
-            new = np.ones(len(o), dtype=bool)
-            new[1:] = (o[1:] != o[:-1]) | (d[1:] != d[:-1]) | (p[1:] > p[:-1] + LENGTH)
-            at = np.flatnonzero(new)
-            ends = p[np.append(at[1:], len(p)) - 1] + LENGTH
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (o[at], d[at], p[at], ends)], names=["ord", "dg", "lo", "hi"])
-        del text
+        for lo, hi in pieces(len(text), memory):
+            # Runs of marked places; strings end before a segment does, so no run goes on into the next one.
+            edge = np.diff(np.concatenate([[0], marked[lo:hi].astype(np.int8), [0]]))
+            first, stop = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo
+            if len(first):
+                seg = np.searchsorted(base, first, side="right") - 1
+                place = starts[seg] + first - base[seg]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x)) for x in (ords[seg], dgs[seg], place, place + (stop - first) - 1 + LENGTH)], names=["ord", "dg", "lo", "hi"])
+        del text, size, ords, dgs, starts
+        for f in files:
+            f.close()
 
 
 def _cut(own: DataFrame) -> DataFrame:
@@ -279,42 +291,36 @@ def _cut(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, filter_bits: int = FILTER_BITS, memory: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
-    """(texts, marks): rows doc_id, ord, dg, text of docs, and byte spans (ord, dg, lo, hi) to remove, which may overlap."""
+def repeated_spans(docs: DataFrame, put, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, filter_bits: int = FILTER_BITS, memory: int = MEMORY) -> tuple[DataFrame, DataFrame]:
+    """(texts, marks): rows doc_id, ord, dg, text of docs, and byte spans (ord, dg, lo, hi) to remove, which may overlap.
+    put stores a table and returns it read again."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("dg"), text.alias("text"))
-    rows = stash(own.select("ord", "dg", F.octet_length("text").cast("long").alias("n"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")), "rep-rows")
-    first = stash(rows.groupBy("digest").agg(F.min("ord").alias("first")), "rep-texts")
+    rows = put(own.select("ord", "dg", F.octet_length("text").cast("long").alias("n"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")), "rep-rows")
+    first = put(rows.groupBy("digest").agg(F.min("ord").alias("first")), "rep-texts")
     whole = rows.join(first, "digest").filter((F.col("ord") > F.col("first")) & (F.col("n") >= LENGTH))
     marks = [whole.select("ord", "dg", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))]
     one = own.select("ord", "dg", "text")
     counted = _anchors(one).groupBy("anchor").agg(F.min("dg").alias("a"), F.max("dg").alias("b"), F.max("again").alias("again"))
-    repeated = stash(counted.filter("again OR a < b").select("anchor"), "rep-anchors")
+    repeated = put(counted.filter("again OR a < b").select("anchor"), "rep-anchors")
     known = repeated.count()
     if known:
-        passes = -(-16 * known // filter_bits)
-        bits = min(filter_bits, 1 << max(10, (16 * known // passes).bit_length()))
-        parts = []
-        for turn in range(passes):
-            mine = repeated.filter(F.shiftrightunsigned("anchor", 56) % passes == turn)
-            sent = spark.sparkContext.broadcast(_filter(mine, bits))
-            parts.append(stash(_emit(one, sent, bits, passes, turn).withColumn("uid", F.monotonically_increasing_id()), "rep-segments", "zstd"))
-            sent.unpersist()
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
+        bits = min(filter_bits, 1 << max(10, (16 * known).bit_length()))
+        sent = spark.sparkContext.broadcast(_filter(repeated, bits))
+        found = put(_emit(one, sent, bits).withColumn("uid", F.monotonically_increasing_id()), "rep-segments", "zstd")
+        sent.unpersist()
         found = found.withColumns({"lo": F.lit(0), "hi": F.lit(WINDOW - 1)})
         cold = []
         while True:
-            copies, kept = _earliest(found)
+            copies, kept = _earliest(found, put)
             marks.append(copies)
-            kept = stash(kept, "rep-kinds", "zstd")
+            kept = put(kept, "rep-kinds", "zstd")
             cold.append(kept.filter((F.col("kinds") <= hot) | (F.col("lo") == F.col("hi"))).select("key", "ord", "dg", "s", "seg"))
             large = kept.filter((F.col("kinds") > hot) & (F.col("lo") < F.col("hi"))).drop("kinds")
             if large.isEmpty():
                 break
-            found = stash(_halved(large), "rep-segments", "zstd")
+            found = put(_halved(large), "rep-segments", "zstd")
         shard_rows = cold[0]
         for c in cold[1:]:
             shard_rows = shard_rows.unionByName(c)
@@ -335,9 +341,12 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     an id and a text are one document; rows that share an id only are ordered by the texts' hashes; rows with a null id
     come after all others; an empty table gives no rows.
     """
-    own, marks = repeated_spans(docs, **how)
-    by_row = marks.groupBy("ord", "dg").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    by_row = stash(by_row, "rep-marks")
+    put = Scratch(docs.sparkSession)
+    own, marks = repeated_spans(docs, put, **how)
+    # Rows that are repeated give equal marks, which are met once in each task already.
+    by_row = marks.groupBy("ord", "dg").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    by_row = put(by_row, "rep-marks")
+    put.close(by_row)
     return _cut(own.join(by_row, ["ord", "dg"], "left").select("doc_id", "text", "marks"))
 
 

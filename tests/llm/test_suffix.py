@@ -1,10 +1,11 @@
 import hashlib
+import os
 import random
 
 import numpy as np
 import pytest
 
-from plexgraph.llm import suffix_dedup
+from plexgraph.llm import induced, suffix_dedup
 from plexgraph.llm.induced import suffix_order
 
 
@@ -15,8 +16,9 @@ def order_of(symbols, depth, memory, tmp_path, dtype=np.int64):
 
 
 @pytest.mark.parametrize("memory", [2, 3, 8, 1000])
-@pytest.mark.parametrize("dtype", [np.int64, np.int16])
-def test_suffixes_and_prefixes_equal_sorting(tmp_path, memory, dtype):
+@pytest.mark.parametrize("dtype,fan", [(np.int64, 256), (np.int16, 256), (np.int64, 2), (np.int64, 3)])
+def test_suffixes_and_prefixes_equal_sorting(tmp_path, memory, dtype, fan, monkeypatch):
+    monkeypatch.setattr(induced, "FAN", fan)
     rng = random.Random(memory)
     for _ in range(120):
         n, kinds, depth = rng.randrange(1, 60), rng.choice([1, 2, 3, 5, 50]), rng.choice([1, 2, 5, 20, 100])
@@ -29,6 +31,27 @@ def test_suffixes_and_prefixes_equal_sorting(tmp_path, memory, dtype):
             assert common == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_a_text_far_larger_than_memory(tmp_path, monkeypatch):
+    """Queues spill, arrays are files, and the recursion, whose alphabet is large, works in ranges of names."""
+    spilled, files, depths = [], [], []
+    spill, real, named = induced.Queue.spill, induced.scratch, induced._named
+    monkeypatch.setattr(induced.Queue, "spill", lambda self: (spill(self), spilled.append(self.spilled), None)[2])
+    monkeypatch.setattr(induced, "scratch", lambda folder, n, dtype, memory: (files.append(n > memory), real(folder, n, dtype, memory))[1])
+    monkeypatch.setattr(induced, "_named", lambda text, *more: (depths.append(len(text)), named(text, *more))[1])
+    rng = np.random.default_rng(4)
+    part = rng.integers(1, 20, 3000)
+    text = np.concatenate([part, rng.integers(1, 20, 6000), part[500:2500], part, rng.integers(1, 20, 3000), [1, 0]]).astype(np.int16)
+    memory = 300
+    got = list(suffix_order(text, 100, str(tmp_path), memory))
+    pos, pre = (np.concatenate([p[i] for p in got]) for i in range(2))
+    raw = text.astype(np.uint8).tobytes()
+    want = sorted(range(len(text)), key=lambda i: raw[i : i + 100])
+    assert [raw[i : i + 100] for i in pos] == [raw[i : i + 100] for i in want] and sorted(pos.tolist()) == list(range(len(text)))
+    assert all(raw[a : a + c] == raw[b : b + c] and (c == 100 or raw[a + c : a + c + 1] != raw[b + c : b + c + 1]) for a, b, c in zip(pos[:-1].tolist(), pos[1:].tolist(), pre[1:].tolist()))
+    assert max(len(p) for p, _ in got) <= memory and sum(spilled) > len(text) / 4 and sum(files) > 20 and len(depths) > 1
+    assert not list(tmp_path.iterdir())
+
+
 def brute(rows):
     texts = sorted({((i is None, i), t or "") for i, t, *_ in rows}, key=lambda r: r[0])
     seen, out = set(), {}
@@ -81,3 +104,14 @@ def test_long_document_in_pieces(spark, monkeypatch):
     assert sorted(covered.tolist()) == list(range(len(text) - 99))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(i, *v) for i, v in got.items()} == {(k[0][1], *v) for k, v in want.items()}
+
+
+def test_whole_table_equals_brute_force(spark):
+    """Every row of the test data's documents, against a table of all strings of 100 bytes."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    docs = spark.read.parquet(path)
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {(k[0][1], *v) for k, v in want.items()}
