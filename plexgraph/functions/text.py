@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns that define each feature.
-APP_TAG = r"<(app-[a-zA-Z0-9-]+)"
-MATERIAL_TAG = r"<(mat-[a-zA-Z0-9-]+)"
 DIRECTIVE = r"\*ng[A-Z][a-zA-Z]*"
 PROPERTY_BINDING = r"\[.*?\]"
 EVENT_BINDING = r"\(.*?\)"
 INTERPOLATION = r"\{\{.*?\}\}"
+REFERENCE = r"#[a-zA-Z][a-zA-Z0-9]*"
+MATERIAL = r"mat-[a-z-]+"
+CUSTOM = r"app-[a-z-]+"
+ANGULAR_TEMPLATE = (DIRECTIVE, PROPERTY_BINDING, EVENT_BINDING, INTERPOLATION, REFERENCE, MATERIAL, CUSTOM)
+APP_TAG = r"<(app-[a-z-]+)"
+MATERIAL_TAG = r"<(mat-[a-z-]+)"
 COMMENT = r"(?s)/\*.*?\*/"
+SELECTOR = r"([.#]?[a-zA-Z][a-zA-Z0-9_-]*(?:\s*[>+~]\s*[.#]?[a-zA-Z][a-zA-Z0-9_-]*)*)\s*\{"
 RULE = r"\{[^}]*\}"
+SCSS = r"[\$@&]|\{[^}]*\{"
+ANGULAR_STYLE = (r":host", r"::ng-deep", r"@use ['\"]@angular", MATERIAL)
+IMPORT, USE, FORWARD = (rf"@{w}\s+['\"]([^'\"]+)['\"]" for w in ("import", "use", "forward"))
+VARIABLE = r"\$([a-zA-Z][a-zA-Z0-9_-]*)"
+MIXIN, FUNCTION = (rf"@{w}\s+([a-zA-Z][a-zA-Z0-9_-]*)" for w in ("mixin", "function"))
+MOST_SELECTORS = 20
 
 
 def distinct_matches(text: Column, pattern: str, group: int = 1) -> Column:
@@ -43,21 +54,25 @@ def nesting_depth(text: Column) -> Column:
     return F.aggregate(braces, zero, step, lambda acc: acc["m"])
 
 
+def _any(text: Column, patterns: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+
+
 def is_angular_template(text: Column) -> Column:
-    tests = (DIRECTIVE, r"\[[a-zA-Z.]+\]\s*=", r"\([a-zA-Z.]+\)\s*=", INTERPOLATION, APP_TAG, MATERIAL_TAG, r"<ng-[a-z]+")
-    out = F.lit(False)
-    for t in tests:
-        out = out | text.rlike(t)
-    return out
+    return _any(text, ANGULAR_TEMPLATE)
+
+
+def _sorted(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.array_sort(distinct_matches(text, pattern, group))
 
 
 def html_features(text: Column) -> dict[str, Column]:
-    """Features of a template by name."""
+    """Features of a template by name; lists are distinct and in order."""
     return {
         "is_angular": is_angular_template(text),
-        "directives": distinct_matches(text, DIRECTIVE, 0),
-        "components": distinct_matches(text, APP_TAG),
-        "material_components": distinct_matches(text, MATERIAL_TAG),
+        "directives": _sorted(text, DIRECTIVE, 0),
+        "components": _sorted(text, APP_TAG),
+        "material_components": _sorted(text, MATERIAL_TAG),
         "property_bindings": F.regexp_count(text, F.lit(PROPERTY_BINDING)),
         "event_bindings": F.regexp_count(text, F.lit(EVENT_BINDING)),
         "interpolations": F.regexp_count(text, F.lit(INTERPOLATION)),
@@ -65,26 +80,44 @@ def html_features(text: Column) -> dict[str, Column]:
 
 
 def style_features(text: Column, path: Column) -> dict[str, Column]:
-    """Features of a style sheet by name. Selectors: the first 20 in order."""
-    bare = F.regexp_replace(text, COMMENT, "")
-    kind = F.when(path.endswith(".scss"), "scss").when(path.endswith(".sass"), "sass").when(text.rlike(r"[$&]|@(use|mixin|include)\b|\{[^}]*\{"), "scss").otherwise("css")
-    imports = F.concat(*[distinct_matches(bare, rf"@{w}\s+(?:url\()?['\"]([^'\"]+)['\"]") for w in ("import", "use", "forward")])
+    """Features of a style sheet by name; lists are distinct and in order, of selectors the first 20. What only
+    preprocessors have, or only component styles, is empty in others."""
+    kind = F.when(path.endswith(".scss"), "scss").when(path.endswith(".sass"), "sass").when(path.endswith(".css") & text.rlike(SCSS), "scss").otherwise("css")
+    angular = path.contains(".component.") | _any(text, ANGULAR_STYLE)
+    # The metadata of a component style are taken by its text alone.
+    marked = _any(text, ANGULAR_STYLE)
+    none = F.array().cast("array<string>")
+    selectors = _sorted(F.regexp_replace(text, COMMENT, ""), SELECTOR)
+    more = F.when(kind == "scss", F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (USE, FORWARD)])).otherwise(none)
     return {
         "css_type": kind,
-        "is_angular": path.contains(".component.") | text.rlike(r":host|::ng-deep|\bmat-|\bcdk-"),
-        "selectors": F.slice(F.array_sort(distinct_matches(bare, r"([^{}@;]+?)\s*\{")), 1, 20),
-        "rules": F.regexp_count(bare, F.lit(RULE)),
-        "imports": imports,
-        "variables": distinct_matches(bare, r"(\$[\w-]+)\s*:"),
-        "mixins": distinct_matches(bare, r"@mixin\s+([\w-]+)"),
-        "functions": distinct_matches(bare, r"@function\s+([\w-]+)"),
-        "max_nesting": nesting_depth(bare),
-        "host_rules": F.regexp_count(bare, F.lit(":host")),
-        "deep_rules": F.regexp_count(bare, F.lit("::ng-deep")),
-        "material": distinct_matches(bare, r"\b(mat-[\w-]+)"),
+        "is_angular": angular,
+        "selector_count": F.size(selectors),
+        "selectors": F.slice(selectors, 1, MOST_SELECTORS),
+        "rules": F.regexp_count(text, F.lit(RULE)),
+        "imports": F.concat(F.regexp_extract_all(text, F.lit(IMPORT), F.lit(1)), more),
+        "variables": F.when(kind == "scss", _sorted(text, VARIABLE)).otherwise(none),
+        "mixins": F.when(kind != "css", _sorted(text, MIXIN)).otherwise(none),
+        "functions": F.when(kind != "css", _sorted(text, FUNCTION)).otherwise(none),
+        "max_nesting": F.when(kind != "css", nesting_depth(text)).otherwise(0),
+        "host_rules": F.when(marked, F.regexp_count(text, F.lit(":host"))).otherwise(0),
+        "deep_rules": F.when(marked, F.regexp_count(text, F.lit("::ng-deep"))).otherwise(0),
+        "material": F.when(marked, _sorted(text, f"({MATERIAL})")).otherwise(none),
     }
 
 
+def file_info(files: DataFrame) -> DataFrame:
+    """path, name, stem, extension, size, total_lines, lines_of_code and hash of files (path, text, raw bytes or null)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    name = F.element_at(F.split("path", "/"), -1)
+    extension = F.regexp_extract(name, r".(\.[^.]*)$", 1)
+    return files.select(
+        "path", name.alias("name"), F.substring(name, F.lit(1), F.length(name) - F.length(extension)).alias("stem"), extension.alias("extension"),
+        F.octet_length(text).cast("long").alias("size"), F.size(F.split(text, "\n")).cast("long").alias("total_lines"), lines_of_code(text).alias("lines_of_code"),
+        F.sha2(text.cast("binary"), 256).alias("hash"),
+    )
+
+
 def glob_regex(pattern: str) -> str:
     """A shell pattern as a regular expression for a whole string."""
     out = []
@@ -94,5 +127,8 @@ def glob_regex(pattern: str) -> str:
 
 
 def sanitised(name: Column) -> Column:
-    """Names of more than 100 characters are cut to 90 and get a mark and a short hash."""
-    return F.when(F.length(name) > 100, F.concat(F.substring(name, 1, 90), F.lit("..."), F.substring(F.md5(name.cast("binary")), 1, 8))).otherwise(name)
+    """Names of more than 100 characters are cut to 90, or at a dot among the last ten of those, and get a mark and a
+    short hash of the whole; an empty name is unknown."""
+    head = F.substring(name, 1, 90)
+    cut = F.when(F.substring(head, 81, 10).contains("."), F.regexp_replace(head, r"\.[^.]*$", "")).otherwise(head)
+    return F.when(F.coalesce(name, F.lit("")) == "", "unknown").when(F.length(name) > 100, F.concat(cut, F.lit("..."), F.substring(F.md5(name.cast("binary")), 1, 8))).otherwise(name)

@@ -1,4 +1,8 @@
-"""Python sources: modules, classes, functions, variables, imports; calls, inheritance, decoration, containment."""
+"""Python sources: modules, classes, functions, variables, imports; calls, inheritance, decoration, containment.
+
+The tree is walked once. A function's complexity and whether it yields are counted on the way, and an enclosing function
+adds what its inner ones have counted.
+"""
 
 from __future__ import annotations
 
@@ -9,54 +13,33 @@ from plexgraph.parsers.records import Entity, Parsed, file_entity
 
 #: Nodes that add a path through a function.
 _BRANCHES = frozenset((ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith))
-_LEAVES = frozenset((ast.Name, ast.Constant, ast.Load, ast.Store, ast.Pass, ast.Import, ast.ImportFrom))
+_LEAVES = frozenset((ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal))
+_YIELDS = frozenset((ast.Yield, ast.YieldFrom))
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def dotted(node: ast.AST | None) -> str:
-    """The name of a Name or Attribute chain; empty for anything else."""
+    """The name of a chain of attributes; a constant counts as its text; what has no name of its own adds nothing."""
     parts = []
     while isinstance(node, ast.Attribute):
         parts.append(node.attr)
         node = node.value
-    if not isinstance(node, ast.Name):
-        return ""
-    return ".".join(reversed([*parts, node.id]))
-
-
-def measured(node: ast.AST) -> tuple[int, bool]:
-    """Complexity of a function, and whether it yields, in one walk. Complexity: 1, one more for each branching node
-    below, and one for each further operand of and / or."""
-    total, yields, todo = 1, False, [node]
-    while todo:
-        n = todo.pop()
-        kind = n.__class__
-        if kind in _BRANCHES:
-            total += 1
-        elif kind is ast.BoolOp:
-            total += len(n.values) - 1
-        elif kind is ast.Yield or kind is ast.YieldFrom:
-            yields = True
-        elif kind in _LEAVES:
-            continue
-        for name in n._fields:
-            value = getattr(n, name, None)
-            if isinstance(value, list):
-                todo += [x for x in value if isinstance(x, ast.AST)]
-            elif isinstance(value, ast.AST):
-                todo.append(value)
-    return total, yields
+    if isinstance(node, ast.Name):
+        parts.append(node.id)
+    elif isinstance(node, ast.Constant):
+        parts.append(str(node.value))
+    return ".".join(x for x in reversed(parts) if x)
 
 
 def signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
-    """name(args): positional arguments with plain annotations, *args and **kwargs."""
+    """(args): positional arguments with the names of their annotations, *args and **kwargs."""
 
     def shown(a: ast.arg, mark: str = "") -> str:
-        kind = dotted(a.annotation) if a.annotation else ""
-        return mark + a.arg + (f": {kind}" if kind else "")
+        return mark + a.arg + (f": {dotted(a.annotation)}" if a.annotation else "")
 
     a = node.args
     args = [shown(x) for x in a.args] + ([shown(a.vararg, "*")] if a.vararg else []) + ([shown(a.kwarg, "**")] if a.kwarg else [])
-    return f"{node.name}({', '.join(args)})"
+    return f"({', '.join(args)})"
 
 
 def _doc(node: ast.AST) -> str | None:
@@ -73,19 +56,60 @@ def _inferred(value: ast.AST) -> str:
     return (dotted(value.func) if isinstance(value, ast.Call) else "") or "unknown"
 
 
-class _Visitor(ast.NodeVisitor):
+def _targets(node: ast.AST) -> list[str]:
+    """The names that an assignment binds, inside tuples and lists of any depth."""
+    if isinstance(node, (ast.Tuple, ast.List)):
+        return [name for x in node.elts for name in _targets(x)]
+    return [node.id] if isinstance(node, ast.Name) else []
+
+
+class _Walk:
     def __init__(self, out: Parsed, file: Entity, module: Entity):
         self.out, self.file, self.module = out, file, module
         self.classes: list[Entity] = []
         self.functions: list[Entity] = []
+        self.branches, self.yields = 0, False
+        self.scope = module.name
+        self.handlers = {
+            ast.ClassDef: self.class_, ast.FunctionDef: self.function, ast.AsyncFunctionDef: self.function,
+            ast.Import: self.import_, ast.ImportFrom: self.import_from, ast.Call: self.call, ast.Assign: self.assign,
+        }
+
+    def walk(self, node: ast.AST) -> None:
+        kind = node.__class__
+        if kind in _LEAVES:
+            return
+        if kind in _BRANCHES:
+            self.branches += 1
+        elif kind is ast.BoolOp:
+            self.branches += len(node.values) - 1
+        elif kind in _YIELDS:
+            self.yields = True
+        handler = self.handlers.get(kind)
+        if handler:
+            handler(node)
+        else:
+            self.inner(node)
+
+    def inner(self, node: ast.AST) -> None:
+        for name in node._fields:
+            value = getattr(node, name, None)
+            if value.__class__ is list:
+                for x in value:
+                    if isinstance(x, ast.AST):
+                        self.walk(x)
+            elif isinstance(value, ast.AST):
+                self.walk(value)
 
-    @property
-    def scope(self) -> str:
-        return ":".join([self.module.name, *(c.name for c in self.classes), *(f.name for f in self.functions)])
+    def named(self, name: str, node: ast.AST) -> None:
+        """Walk what is inside a class or function, whose name is part of the scope there."""
+        scope, self.scope = self.scope, f"{self.scope}:{name}"
+        self.inner(node)
+        self.scope = scope
 
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+    def class_(self, node: ast.ClassDef) -> None:
         bases = [b for b in map(dotted, node.bases) if b]
-        decorated = (dotted(d) for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)) for d in m.decorator_list)
+        decorated = (dotted(d) for m in node.body if isinstance(m, _FUNCTIONS) for d in m.decorator_list)
         abstract = any(b in ("ABC", "abc.ABC") for b in bases) or any(d.split(".")[-1] == "abstractmethod" for d in decorated)
         c = self.out.entity(node.name, "Class", node.lineno, node.end_lineno or node.lineno, self.scope, docstring=_doc(node), is_abstract=abstract, file_id=self.file.id, module_id=self.module.id)
         if self.classes:
@@ -97,17 +121,15 @@ class _Visitor(ast.NodeVisitor):
             self.out.link(c.id, f"?class:{b}", "INHERITS")
         self.classes.append(c)
         functions, self.functions = self.functions, []
-        self.generic_visit(node)
+        self.named(node.name, node)
         self.functions = functions
         self.classes.pop()
 
-    def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
+    def function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
         marks = [d for d in map(dotted, node.decorator_list) if d]
-        complexity, yields = measured(node)
         f = self.out.entity(
             node.name, "Function", node.lineno, node.end_lineno or node.lineno, self.scope,
-            docstring=_doc(node), signature=signature(node), return_type=dotted(node.returns), complexity=complexity,
-            is_async=isinstance(node, ast.AsyncFunctionDef), is_generator=yields,
+            docstring=_doc(node), signature=signature(node), return_type=dotted(node.returns), is_async=isinstance(node, ast.AsyncFunctionDef),
             is_property="property" in marks, is_staticmethod="staticmethod" in marks, is_classmethod="classmethod" in marks,
             file_id=self.file.id, module_id=self.module.id, class_id=self.classes[-1].id if self.classes else None,
         )
@@ -119,34 +141,37 @@ class _Visitor(ast.NodeVisitor):
             self.out.link(self.module.id, f.id, "MODULE_CONTAINS_FUNCTION")
             self.out.link(self.file.id, f.id, "FILE_CONTAINS_FUNCTION")
         for d in marks:
-            self.out.link(f"?function:{d}", f.id, "DECORATES", decorator_name=d)
+            self.out.link(f"?function:{d}", f.id, "DECORATES", decorator_name=d, line_number=node.lineno)
+        branches, yields = self.branches, self.yields
+        self.branches, self.yields = 0, False
         self.functions.append(f)
-        self.generic_visit(node)
+        self.named(node.name, node)
         self.functions.pop()
+        f.props["complexity"], f.props["is_generator"] = str(1 + self.branches), "true" if self.yields else "false"
+        self.branches, self.yields = self.branches + branches, self.yields or yields
 
-    visit_AsyncFunctionDef = visit_FunctionDef
-
-    def _import(self, node: ast.stmt, name: str, module: str, alias: str | None, from_: bool) -> None:
+    def imported(self, node: ast.stmt, name: str, module: str, goal: str, alias: str | None, from_: bool) -> None:
         i = self.out.entity(name, "Import", node.lineno, node.lineno, self.scope, module_name=module, alias=alias, is_from_import=from_, line_number=node.lineno, file_id=self.file.id)
         self.out.link(self.file.id, i.id, "FILE_CONTAINS_IMPORT")
-        if module:
-            self.out.link(self.file.id, f"?module:{module}", "IMPORTS", import_type="from" if from_ else "import")
+        if goal:
+            self.out.link(self.file.id, f"?module:{goal}", "IMPORTS", import_type="from" if from_ else "import")
 
-    def visit_Import(self, node: ast.Import) -> None:
+    def import_(self, node: ast.Import) -> None:
         for a in node.names:
-            self._import(node, a.asname or a.name, a.name, a.asname, False)
+            self.imported(node, a.asname or a.name, a.name, a.name, a.asname, False)
 
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        module = node.module or ""
+    def import_from(self, node: ast.ImportFrom) -> None:
+        """The property has the module as written; the edge goes to the one meant, with leading dots resolved."""
+        written = goal = node.module or ""
         if node.level:
             base = posixpath.dirname(self.out.path)
             for _ in range(node.level - 1):
                 base = posixpath.dirname(base)
-            module = ".".join(x for x in (*base.split("/"), *module.split(".")) if x)
+            goal = ".".join(x for x in (*base.split("/"), *written.split(".")) if x)
         for a in node.names:
-            self._import(node, a.name, module, a.asname, True)
+            self.imported(node, a.name, written, goal, a.asname, True)
 
-    def visit_Call(self, node: ast.Call) -> None:
+    def call(self, node: ast.Call) -> None:
         name = dotted(node.func)
         if name and self.functions:
             # self.x() and cls.x() mean a method of the class at hand, if there is one.
@@ -154,21 +179,21 @@ class _Visitor(ast.NodeVisitor):
             if len(own) == 2 and own[0] in ("self", "cls") and self.classes:
                 name = f"{self.classes[-1].name}.{own[1]}"
             self.out.link(self.functions[-1].id, f"?function:{name}", "CALLS", call_type="function_call", line_number=node.lineno)
-        self.generic_visit(node)
-
-    def visit_Assign(self, node: ast.Assign) -> None:
-        for target in node.targets:
-            for t in target.elts if isinstance(target, (ast.Tuple, ast.List)) else [target]:
-                if isinstance(t, ast.Name) and not t.id.startswith("_"):
-                    holder = self.functions[-1] if self.functions else self.classes[-1] if self.classes else self.module
-                    v = self.out.entity(
-                        t.id, "Variable", node.lineno, node.lineno, self.scope, type_annotation=_inferred(node.value), line_number=node.lineno,
-                        is_global=not self.functions and not self.classes, is_constant=t.id.isupper(), file_id=self.file.id, scope_id=holder.id,
-                    )
-                    self.out.link(holder.id, v.id, f"{holder.type.upper()}_CONTAINS_VARIABLE")
-                    if not self.functions:
-                        self.out.link(self.file.id, v.id, "FILE_CONTAINS_VARIABLE")
-        self.generic_visit(node)
+        self.inner(node)
+
+    def assign(self, node: ast.Assign) -> None:
+        for name in (n for target in node.targets for n in _targets(target)):
+            if name.startswith("_"):
+                continue
+            holder = self.functions[-1] if self.functions else self.classes[-1] if self.classes else self.module
+            v = self.out.entity(
+                name, "Variable", node.lineno, node.lineno, self.scope, type_annotation=_inferred(node.value), line_number=node.lineno,
+                is_global=not self.functions and not self.classes, is_constant=name.isupper(), file_id=self.file.id, scope_id=holder.id,
+            )
+            self.out.link(holder.id, v.id, f"{holder.type.upper()}_CONTAINS_VARIABLE")
+            if not self.functions:
+                self.out.link(self.file.id, v.id, "FILE_CONTAINS_VARIABLE")
+        self.inner(node)
 
 
 def parse(path: str, text: str) -> Parsed:
@@ -180,10 +205,10 @@ def parse(path: str, text: str) -> Parsed:
         out.errors.append(f"{type(e).__name__}: {e}")
         return out
     lines = text.split("\n")
-    loc = sum(1 for x in lines if x.strip() and not x.strip().startswith("#"))
+    loc = sum(1 for x in map(str.strip, lines) if x and x[0] != "#")
     file = file_entity(out, text, loc)
     stem = posixpath.splitext(posixpath.basename(path))[0]
     module = out.entity(stem, "Module", 1, len(lines), docstring=_doc(tree), file_id=file.id)
     out.link(file.id, module.id, "FILE_CONTAINS_MODULE")
-    _Visitor(out, file, module).visit(tree)
+    _Walk(out, file, module).inner(tree)
     return out

@@ -25,67 +25,101 @@ DECORATORS = {
     "Input": "AngularInput",
     "Output": "AngularOutput",
 }
+#: Characters kept of an entity's text, and of a component's inline template.
+SNIPPET, TEMPLATE = 500, 200
+
+
+_SPECIAL = re.compile(r"[/'\"`]")
+_OPEN = re.compile(r"[({\[]")
+_FIELD = re.compile(rf"\s*(?:(?:public|private|protected|static|readonly|declare|override|accessor)\s+)*#?({_NAME})\s*[?!]?\s*(?:[:=]|$)")
+_NOT_BREAK = re.compile(r"[^\n]")
+# Inside a literal, up to its end: escapes count as one character; a string or regular expression ends with its line.
+_INSIDE = {
+    "'": re.compile(r"(?:[^'\\\n]|\\(?s:.))*"), '"': re.compile(r'(?:[^"\\\n]|\\(?s:.))*'), "`": re.compile(r"(?:[^`\\]|\\(?s:.))*"),
+    "/": re.compile(r"(?:[^/\\\n\[]|\\(?s:.)|\[(?:[^\]\\\n]|\\(?s:.))*\]?)*"),
+}
 
 
 def blanked(text: str) -> str:
     """text with comments and the insides of literals as spaces; line breaks and offsets stay."""
-    out, i, n = list(text), 0, len(text)
+    out, i, n = [], 0, len(text)
     last = ""  # the last code character, which tells a division from a regular expression
-
-    def wipe(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
-    while i < n:
-        c, two = text[i], text[i : i + 2]
-        if two == "//":
-            end = text.find("\n", i)
-            end = n if end < 0 else end
-            wipe(i, end)
-        elif two == "/*":
-            end = text.find("*/", i + 2)
-            end = n if end < 0 else end + 2
-            wipe(i, end)
-        elif c in "'\"`" or c == "/" and (not last or last in "(,=:[!&|?{};+-*%<>~^"):
-            end, inside = i + 1, False
-            while end < n and (text[end] != c or inside):
-                if text[end] == "\\":
-                    end += 1
-                elif c == "/" and text[end] in "[]":
-                    inside = text[end] == "["
-                elif text[end] == "\n" and c != "`":
-                    break
-                end += 1
-            wipe(i + 1, end)
-            end, last = min(end + 1, n), c
+    while m := _SPECIAL.search(text, i):
+        at, c = m.start(), m[0]
+        code = text[i:at]
+        out.append(code)
+        last = code.rstrip()[-1:] or last
+        two = text[at : at + 2]
+        if two in ("//", "/*"):
+            end = text.find("\n" if two == "//" else "*/", at + 2)
+            i = n if end < 0 else end if two == "//" else end + 2
+            out.append(_NOT_BREAK.sub(" ", text[at:i]))
+        elif c == "/" and last and last not in "(,=:[!&|?{};+-*%<>~^":
+            out.append(c)
+            last, i = c, at + 1
         else:
-            end = i + 1
-            if not c.isspace():
-                last = c
-        i = end
+            end = _INSIDE[c].match(text, at + 1).end()
+            out.append(c + _NOT_BREAK.sub(" ", text[at + 1 : end]) + text[end : end + 1])
+            last, i = c, min(end + 1, n)
+    out.append(text[i:])
     return "".join(out)
 
 
-def _matching(code: str, at: int) -> int:
-    """The offset of the bracket that closes the one at `at`; the end of the text if there is none."""
-    pairs, depth = {"(": ")", "{": "}", "[": "]"}, 0
-    open_, close = code[at], pairs[code[at]]
-    for k in range(at, len(code)):
-        if code[k] == open_:
-            depth += 1
-        elif code[k] == close:
-            depth -= 1
-            if not depth:
-                return k
-    return len(code) - 1
+def _closing(code: str) -> dict[int, int]:
+    """The offset of the bracket that closes each one, in one pass; the end of the text where there is none."""
+    open_of, waiting = {")": "(", "}": "{", "]": "["}, {"(": [], "{": [], "[": []}
+    out: dict[int, int] = {}
+    for m in re.finditer(r"[(){}\[\]]", code):
+        if m[0] in waiting:
+            waiting[m[0]].append(m.start())
+        elif waiting[open_of[m[0]]]:
+            out[waiting[open_of[m[0]]].pop()] = m.start()
+    return out | {at: len(code) - 1 for kind in waiting.values() for at in kind}
+
+
+def _pieces(code: str) -> list[tuple[int, int]]:
+    """Where the parts of a list stand that commas divide, outside of all brackets."""
+    out, depth, at = [], 0, 0
+    for m in re.finditer(r"[(){}\[\],]", code):
+        depth += (m[0] in "({[") - (m[0] in ")}]")
+        if m[0] == "," and not depth:
+            out.append((at, m.start()))
+            at = m.end()
+    return [x for x in [*out, (at, len(code))] if code[x[0] : x[1]].strip()]
+
+
+def parameters(args: str) -> dict:
+    """What a parameter list, without its brackets, says of itself; counted by commas, as nothing else is known of it."""
+    whole = args.strip()
+    return {
+        "parameters": f"({whole})", "parameter_count": whole.count(",") + 1 if whole else 0, "has_destructuring": "{" in whole or "[" in whole,
+        "has_defaults": "=" in whole, "has_rest_params": "..." in whole, "has_type_annotations": ":" in whole,
+    }
+
+
+def assigned(statement: str, kind: str) -> dict:
+    """What the text of a variable's declaration says of its value."""
+    out: dict = {"declaration_type": kind}
+    for word, name in (("=>", "is_arrow_function_assignment"), ("function", "is_function_assignment"), ("async", "is_async_assignment")):
+        if word in statement:
+            out[name] = True
+            break
+    out["has_destructuring"] = "{" in statement or "[" in statement
+    if statement.count("{") > statement.count("=>"):
+        out["is_object_literal"] = True
+    if "[" in statement:
+        out["has_array_syntax"] = True
+    out["has_template_literal"], out["has_spread_operator"] = "`" in statement, "..." in statement
+    modern = ("has_destructuring", "is_arrow_function_assignment", "has_template_literal", "has_spread_operator")
+    return out | {"modern_js_complexity": sum(bool(out.get(k)) for k in modern)}
 
 
 class _Scan:
     def __init__(self, path: str, text: str):
         self.text, self.code = text, blanked(text)
+        self.closing = _closing(self.code)
         self.out = Parsed(path)
-        self.breaks = [i for i, c in enumerate(text) if c == "\n"]
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
         self.file = file_entity(self.out, text, text.count("\n") + 1)
         self.spans: list[tuple[int, int, Entity]] = []  # of functions, methods and constructors
         self.classes: list[tuple[int, int, Entity]] = []
@@ -94,22 +128,26 @@ class _Scan:
         return bisect.bisect_left(self.breaks, at) + 1
 
     def add(self, name: str, kind: str, start: int, end: int, **props) -> Entity:
-        e = self.out.entity(name, kind, self.line(start), self.line(end), posixpath.basename(self.out.path), file_id=self.file.id, **props)
+        snippet = self.text[start : min(end + 1, start + SNIPPET)]
+        e = self.out.entity(name, kind, self.line(start), self.line(end), posixpath.basename(self.out.path), file_id=self.file.id, code_snippet=snippet, **props)
         self.out.link(self.file.id, e.id, f"FILE_CONTAINS_{kind.upper()}")
         return e
 
     def around(self, at: int, spans: list[tuple[int, int, Entity]]) -> Entity | None:
         """The shortest span around an offset; the first of equals."""
-        best = min(((b - a, a, k) for k, (a, b, _) in enumerate(spans) if a <= at <= b), default=None)
-        return spans[best[2]][2] if best else None
+        best = None
+        for a, b, e in spans:
+            if a <= at <= b and (best is None or b - a < best[0]):
+                best = (b - a, e)
+        return best[1] if best else None
 
     def body(self, at: int) -> tuple[int, int] | None:
         """The braces that open at or after `at`, before the statement ends."""
         k = at
         while k < len(self.code) and self.code[k] not in "{;":
-            k = _matching(self.code, k) if self.code[k] in "([" else k
+            k = self.closing[k] if self.code[k] in "([" else k
             k += 1
-        return (k, _matching(self.code, k)) if k < len(self.code) and self.code[k] == "{" else None
+        return (k, self.closing[k]) if k < len(self.code) and self.code[k] == "{" else None
 
     def imports(self) -> None:
         for m in re.finditer(r"\bimport\b([^;'\"]*?)(?:\bfrom\s*)?(['\"])", self.code):
@@ -138,7 +176,7 @@ class _Scan:
 
     def types(self) -> None:
         for m in re.finditer(rf"\b(class|interface|enum)\s+({_NAME})([^{{;]*)\{{", self.code):
-            start, end = m.end() - 1, _matching(self.code, m.end() - 1)
+            start, end = m.end() - 1, self.closing[m.end() - 1]
             inside = self.code[start + 1 : end]
             if m[1] == "interface":
                 methods = len(re.findall(rf"\b{_NAME}\s*\??\s*\([^)]*\)\s*:", inside))
@@ -148,8 +186,10 @@ class _Scan:
             else:
                 c = self.add(m[2], "Class", m.start(), end, is_abstract=bool(re.search(r"\babstract\s+$", self.code[: m.start()][-20:])))
                 self.classes.append((m.start(), end, c))
+                c.props |= {"method_count": "0", "property_count": str(self.fields(start, end))}
                 base = re.search(rf"\bextends\s+({_NAME}(?:\.{_NAME})*)", m[3])
                 if base:
+                    c.props["extends"] = base[1]
                     self.out.link(c.id, f"?class:{base[1]}", "EXTENDS")
                     self.out.link(c.id, f"?class:{base[1]}", "INHERITS")
                 held = re.search(r"\bimplements\s+([^{]*)", m[3])
@@ -159,19 +199,31 @@ class _Scan:
         for m in re.finditer(rf"\btype\s+({_NAME})(?:<[^>]*>)?\s*=\s*([^;\n]*)", self.code):
             self.add(m[1], "Type", m.start(), m.end(), type_definition=m[2].strip()[:200])
 
+    def fields(self, start: int, end: int) -> int:
+        """Fields of a class body: its statements, without what stands in brackets, that begin with a name and are no
+        member with parameters."""
+        parts, at = [], start + 1
+        while m := _OPEN.search(self.code, at, end):
+            parts.append(self.code[at : m.end()])
+            at = self.closing[m.start()]
+        flat = "".join(parts) + self.code[at:end]
+        # A block ends a statement, unless it is a value.
+        heads = re.split(r"[;\n]|(?<==>)\s*\{\}|\{\}", re.sub(rf"@{_NAME}(?:\.{_NAME})*(?:\(\))?", " ", flat))
+        return sum(bool((m := _FIELD.match(x)) and m[1] not in _WORDS) for x in heads)
+
     def members(self, holder: Entity, start: int, end: int) -> None:
         head = re.compile(rf"((?:\b(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*)(\*?)\s*(#?{_NAME})\s*(?:<[^>(]*>)?\(")
         at = start + 1
         while at < end:
             if self.code[at] in "{([":
-                at = _matching(self.code, at) + 1
+                at = self.closing[at] + 1
                 continue
             m = head.match(self.code, at)
             # A member starts after a break in the class body, never in the middle of an expression.
             if not m or m[3] in _WORDS - {"constructor", "get", "set", "delete", "import"} or self.code[start:at].rstrip()[-1:] not in "{};)" and "\n" not in self.code[at - 1 : at + 1] and not self.code[at - 1].isspace():
                 at += 1
                 continue
-            close = _matching(self.code, m.end() - 1)
+            close = self.closing[m.end() - 1]
             body = self.body(close + 1)
             between = self.code[close + 1 : body[0]] if body else ""
             if not body or body[1] > end or re.search(r"[=;]", between.split("=>")[0]) or self.code[start:at].rstrip()[-1:] in (".", "=", ",", "(", "?"):
@@ -189,14 +241,15 @@ class _Scan:
                 "Setter": {"parameter_type": args.partition(":")[2].strip()},
             }[kind]
             begin = m.start(1) if m[1] else m.start(3)
-            e = self.add(m[3], kind, begin, body[1], **shared, **own)
+            e = self.add(m[3], kind, begin, body[1], **shared, **own, **parameters(args), method_kind=kind.lower())
+            holder.props["method_count"] = str(int(holder.props["method_count"]) + 1)
             self.out.link(holder.id, e.id, f"CLASS_CONTAINS_{kind.upper()}")
             self.spans.append((begin, body[1], e))
             at = body[1] + 1
 
     def functions(self) -> None:
         for m in re.finditer(rf"\b(async\s+)?function\s*(\*?)\s*({_NAME})?\s*(?:<[^>(]*>)?\(", self.code):
-            close = _matching(self.code, m.end() - 1)
+            close = self.closing[m.end() - 1]
             body = self.body(close + 1)
             if not body:
                 continue
@@ -204,6 +257,7 @@ class _Scan:
             args = self.text[m.end() : close].strip()
             kind = "GeneratorFunction" if m[2] else "Function"
             extra = {} if m[2] else {"is_generator": False, "complexity": self.complexity(*body)}
+            extra |= parameters(args) | {"is_arrow": False, "function_style": "generator" if m[2] else "async" if m[1] else "traditional"}
             e = self.add(name, kind, m.start(), body[1], signature=f"{name}({args})", return_type=self.code[close + 1 : body[0]].strip().lstrip(":").strip(), is_async=bool(m[1]), **extra)
             self.spans.append((m.start(), body[1], e))
         for m in re.finditer(rf"(?:\b(?:const|let|var)\s+({_NAME})[^=;\n]*=\s*)?(\basync\s*)?(?:\(([^()]*(?:\([^()]*\)[^()]*)*)\)|\b({_NAME}))\s*(?::\s*[\w<>\[\]| ]+)?\s*=>", self.code):
@@ -211,23 +265,34 @@ class _Scan:
             while k < len(self.code) and self.code[k].isspace():
                 k += 1
             if k < len(self.code) and self.code[k] in "{(":
-                end = _matching(self.code, k)
+                end = self.closing[k]
             else:
                 end = min(x if x >= 0 else len(self.code) - 1 for x in (self.code.find(";", k), self.code.find("\n", k)))
             start = m.start(1) if m[1] else m.start()
             name = m[1] or f"arrow_function_L{self.line(start)}_{self.line(end)}"
-            e = self.add(name, "ArrowFunction", start, end, signature=f"{name}({(m[3] or m[4] or '').strip()})", is_async=bool(m[2]))
+            args = self.text[m.start(3) : m.end(3)].strip() if m[3] is not None else (m[4] or "").strip()
+            e = self.add(name, "ArrowFunction", start, end, signature=f"{name}({args})", is_async=bool(m[2]), is_arrow=True, function_style="arrow", **parameters(args))
             self.spans.append((start, end, e))
 
     def complexity(self, a: int, b: int) -> int:
         return 1 + len(re.findall(r"\b(?:if|for|while|catch|case)\b|&&|\|\||\?(?![.?:])", self.code[a:b]))
 
+    def statement_end(self, at: int) -> int:
+        """Where a statement ends: a semicolon or a line break outside of brackets."""
+        while m := re.compile(r"[({\[;\n)}\]]").search(self.code, at):
+            if m[0] not in "({[":
+                return m.start()
+            at = self.closing[m.start()] + 1
+        return len(self.code)
+
     def variables(self) -> None:
         for m in re.finditer(rf"\b(const|let|var)\s+({_NAME}|\[[^\]]*\]|\{{[^}}]*\}})[^=;\n]*=(?!=|>)", self.code):
             kind = "ArrayPattern" if m[2].startswith("[") else "Variable"
             holder = self.around(m.start(), self.spans)
+            end = self.statement_end(m.end())
             more = {"pattern_type": "array"} if kind == "ArrayPattern" else {"line_number": self.line(m.start()), "is_global": holder is None, "is_constant": m[1] == "const", "scope_id": holder.id if holder else self.file.id}
-            self.add(m[2][:50], kind, m.start(), m.end(), **more)
+            # Literals count by their marks, which stand in the code; what they hold is blank there.
+            self.add(m[2][:50], kind, m.start(), m.end(), **more, **assigned(self.code[m.start() : end], m[1]))
 
     def calls(self) -> None:
         for m in re.finditer(rf"({_NAME}(?:\??\.{_NAME})*)\s*\(", self.code):
@@ -244,41 +309,63 @@ class _Scan:
             if holder is not None:
                 self.out.link(holder.id, f"?variable:{m[1].replace('?.', '.')}", "ACCESSES", property_path=m[1], access_location=self.line(m.start()))
 
+    def config(self, start: int, end: int) -> dict[str, str]:
+        """The object literal of a decorator's arguments: the text of each value by its key."""
+        at = self.code.find("{", start, end)
+        if at < 0:
+            return {}
+        out, inside = {}, at + 1
+        code = self.code[inside : self.closing[at]]
+        for a, b in _pieces(code):
+            colon = code.find(":", a, b)
+            if colon >= 0:
+                key = self.text[inside + a : inside + colon].strip().strip("'\"")
+                # Comments before a key are blank in the code, but not in the text.
+                key = key if re.fullmatch(r"[\w$-]+", key) else code[a:colon].strip()
+                out[key] = self.text[inside + colon + 1 : inside + b].strip()
+        return out
+
     def decorators(self) -> None:
         for m in re.finditer(rf"@({_NAME})\s*\(", self.code):
-            close = _matching(self.code, m.end() - 1)
-            config = self.text[m.end() : close]
+            close = self.closing[m.end() - 1]
             label = DECORATORS.get(m[1])
-            follows = re.search(rf"\bclass\s+({_NAME})", self.code[close:]) if label not in ("AngularInput", "AngularOutput") else re.search(rf"\b(?:readonly\s+|set\s+)?({_NAME})", self.code[close + 1 :])
-            name = follows[1] if follows else m[1]
+            arguments = self.text[m.end() : close]
+            if label is None:
+                self.add(m[1], "Decorator", m.start(), close, decorator_name=m[1], arguments=arguments[:200])
+                continue
+            given = self.config(m.end(), close)
+            member = label in ("AngularInput", "AngularOutput")
+            follows = re.compile(rf"\b(?:readonly\s+|set\s+)?({_NAME})" if member else rf"\bclass\s+({_NAME})").search(self.code, close + 1)
+            holder = follows[1] if follows else m[1]
 
-            def text_of(key: str, config: str = config) -> str | None:
-                found = re.search(rf"\b{key}\s*:\s*(['\"`])(.*?)\1", config, re.S)
-                return found[2] if found else None
+            def string(key: str, given: dict[str, str] = given) -> str | None:
+                value = given.get(key, "")
+                return value[1:-1] if value[:1] in ("'", '"', "`") and value[-1:] == value[:1] else None
 
-            def list_of(key: str, config: str = config) -> str | None:
-                found = re.search(rf"\b{key}\s*:\s*\[([^\]]*)\]", config)
-                return ",".join(x.strip().strip("'\"`") for x in found[1].split(",") if x.strip()) if found else None
+            def listed(key: str, given: dict[str, str] = given) -> list[str] | None:
+                value = given.get(key, "")
+                return [x.strip().strip("'\"`") for x in value[1:-1].split(",") if x.strip()] if value[:1] == "[" else None
 
-            alone = True if re.search(r"\bstandalone\s*:\s*true", config) else False if re.search(r"\bstandalone\s*:\s*false", config) else None
-            if label is None:
-                self.add(m[1], "Decorator", m.start(), close, decorator_name=m[1], arguments=config[:200])
-                continue
+            alone = {"true": True, "false": False}.get(given.get("standalone", ""))
+            template, styles = string("template"), [s for s in [string("styleUrl"), *(listed("styleUrls") or [])] if s]
             own = {
-                "AngularComponent": lambda: {"selector": text_of("selector"), "template_url": text_of("templateUrl"), "style_url": text_of("styleUrl") or list_of("styleUrls"), "standalone": alone, "imports": list_of("imports")},
-                "AngularService": lambda: {"provided_in": text_of("providedIn")},
-                "AngularDirective": lambda: {"selector": text_of("selector"), "standalone": alone},
-                "AngularPipe": lambda: {"pipe_name": text_of("name"), "standalone": alone},
-                "AngularModule": lambda: {k: list_of(k) for k in ("declarations", "imports", "exports", "providers")},
-                "AngularInput": lambda: {"input_name": config.strip().strip("'\"") or name, "required": "required: true" in config},
-                "AngularOutput": lambda: {"output_name": config.strip().strip("'\"") or name},
-            }[label]()
-            e = self.add(name, label, m.start(), close, **own)
+                "AngularComponent": lambda: {
+                    "selector": string("selector"), "template_url": string("templateUrl"), "style_url": ",".join(styles) or None, "standalone": alone, "imports": listed("imports"),
+                    "template": template[:TEMPLATE] if template is not None else None, "has_inline_styles": "styles" in given, "class_name": holder,
+                },
+                "AngularService": lambda: {"provided_in": string("providedIn")},
+                "AngularDirective": lambda: {"selector": string("selector"), "standalone": alone},
+                "AngularPipe": lambda: {"pipe_name": string("name"), "standalone": alone},
+                "AngularModule": lambda: {k: listed(k) for k in ("declarations", "imports", "exports", "providers")} | {f"has_{k}": k in given for k in ("declarations", "imports", "exports", "providers")},
+                "AngularInput": lambda: {"input_name": string("alias") or ("" if given else arguments.strip().strip("'\"")) or holder, "required": given.get("required") == "true"},
+                "AngularOutput": lambda: {"output_name": arguments.strip().strip("'\"") or holder},
+            }[label]()
+            # A component is known by its selector, anything else by what is decorated.
+            e = self.add(own.get("selector") or holder if label == "AngularComponent" else holder, label, m.start(), close, **own)
             if label == "AngularComponent":
-                for target, kind, prop in [(own["template_url"], "USES_TEMPLATE", "template_path"), *((s, "USES_STYLES", "style_path") for s in (own["style_url"] or "").split(",") if s)]:
+                for target, kind, end, prop in [(own["template_url"], "USES_TEMPLATE", "template", "template_path"), *((s, "USES_STYLES", "style", "style_path") for s in styles)]:
                     if target:
-                        goal = relative(self.out.path, target)
-                        self.out.link(e.id, f"?file:{goal}", kind, **{prop: target}, resolved_path=goal, component_selector=own["selector"])
+                        self.out.link(e.id, f"?{end}:{target}", kind, **{prop: target}, resolved_path=relative(self.out.path, target), component_selector=own["selector"])
 
 
 def parse(path: str, text: str) -> Parsed:

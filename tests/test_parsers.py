@@ -45,7 +45,7 @@ def test_variables_by_scope():
 def test_complexity_and_signature():
     p = parse("a.py", "def f(a, /, b: int, *c, d=1, **e) -> str:\n    if a and b or c: pass\n    for x in c:\n        with x: pass\n    try: pass\n    except E: pass\n    return [y for y in c if y]\n", "python")
     f = next(e for e in p.entities if e.type == "Function")
-    assert f.props["complexity"] == "7" and f.props["signature"] == "f(b: int, *c, **e)" and f.props["return_type"] == "str"
+    assert f.props["complexity"] == "7" and f.props["signature"] == "(b: int, *c, **e)" and f.props["return_type"] == "str"
 
 
 def test_decorators_and_nesting():
@@ -55,6 +55,22 @@ def test_decorators_and_nesting():
     assert next(e for e in p.entities if e.name == "f").props["is_property"] == "true"
 
 
+def test_constant_annotations_and_nested_targets():
+    p = parse("pkg/a.py", "def f(a: 'Foo', b: list[int]) -> None:\n    (x, [y, _z]), w.v = q\ndef g() -> 'pkg.Bar': return super().h('').i()\n@deco.x\ndef h(): pass\nfrom .m import n\nfrom .. import o\n", "python")
+    f, g, _ = (e for e in p.entities if e.type == "Function")
+    assert (f.props["signature"], f.props["return_type"], g.props["return_type"]) == ("(a: Foo, b: )", "None", "pkg.Bar")
+    assert kinds(p)["Variable"] == ["x", "y"] and links(p, "CALLS") == ["?function:i", "?function:h", "?function:super"]
+    mark = next(x for x in p.links if x.type == "DECORATES")
+    assert mark.props == {"decorator_name": "deco.x", "line_number": "5"}
+    assert [e.props["module_name"] for e in p.entities if e.type == "Import"] == ["m", ""] and links(p, "IMPORTS") == ["?module:pkg.m"]
+
+
+def test_counts_of_inner_functions_reach_the_outer_one():
+    p = parse("a.py", "def f():\n    if a: pass\n    def g():\n        for x in y: yield x\n    return b and c\n", "python")
+    f, g = (e for e in p.entities if e.type == "Function")
+    assert (f.props["complexity"], g.props["complexity"]) == ("4", "2") and (f.props["is_generator"], g.props["is_generator"]) == ("true", "true")
+
+
 def test_syntax_error_gives_one_error_and_no_entities():
     p = parse("a.py", "def f(:\n", "python")
     assert len(p.errors) == 1 and not p.entities
@@ -84,13 +100,54 @@ def test_typescript():
     k = kinds(p)
     assert k["Class"] == ["A"] and k["Method"] == ["load", "save"] and k["Constructor"] == ["constructor"] and k["Getter"] == ["v"]
     assert k["Interface"] == ["I"] and k["Enum"] == ["E"] and k["Type"] == ["T"] and k["ArrowFunction"] == ["f"] and k["GeneratorFunction"] == ["gen"] and k["Function"] == ["go"]
-    assert k["AngularComponent"] == ["A"] and k["AngularInput"] == ["size"] and k["ArrayPattern"] == ["[a, b]"] and k["Export"] == ["A", "f"]
+    assert k["AngularComponent"] == ["app-a"] and k["AngularInput"] == ["size"] and k["ArrayPattern"] == ["[a, b]"] and k["Export"] == ["A", "f"]
     assert links(p, "EXTENDS") == ["?class:Base"] and links(p, "IMPLEMENTS") == ["?interface:I", "?interface:J"]
-    assert links(p, "USES_TEMPLATE") == ["?file:src/a.html"] and links(p, "USES_STYLES") == ["?file:src/a.css"] and links(p, "IMPORTS") == ["?file:src/b"] and links(p, "USES") == ["?name:B", "?name:C"]
+    assert links(p, "USES_TEMPLATE") == ["?template:./a.html"] and links(p, "USES_STYLES") == ["?style:./a.css"] and links(p, "IMPORTS") == ["?file:src/b"] and links(p, "USES") == ["?name:B", "?name:C"]
     assert set(links(p, "CALLS")) == {"?function:A.save", "?function:helper", "?function:f", "?function:test"}
     assert next(e for e in p.entities if e.name == "load").line_start == 8
 
 
+MORE = """@Component({
+  selector: 'app-m', // template: 'no'
+  template: `<b>{{ x }}</b>`, styles: ['b { c: d }'], standalone: true,
+  imports: [One, Two],
+})
+class M {
+  a = 1; private b?: string;
+  readonly c: () => void = () => { let d = 5; };
+  @Input({ required: true, alias: 'size' }) e!: number;
+  get f() { return 1; }
+  g(h, { i, j } = {}, ...k: any[]) { const l = `x`; let [n] = [...m]; var o = { p: 1 }, q; }
+  constructor(private r: R) { }
+}
+@NgModule({ declarations: [M], providers: [] })
+export class N extends a.B { }
+const s = async (t) => t;
+const u = function () { };
+"""
+
+
+def test_script_metadata():
+    p = parse("m.ts", MORE, "angular")
+    of = lambda name, kind: next(e.props for e in p.entities if e.name == name and e.type == kind)
+    m = of("M", "Class")
+    assert (m["method_count"], m["property_count"]) == ("3", "4") and of("N", "Class")["extends"] == "a.B" and of("N", "Class")["method_count"] == "0"
+    c = of("app-m", "AngularComponent")
+    assert (c["template"], c["has_inline_styles"], c["standalone"], c["imports"], c["class_name"], c["selector"]) == ("<b>{{ x }}</b>", "true", "true", "One,Two", "M", "app-m")
+    n = of("N", "AngularModule")
+    assert [n[f"has_{k}"] for k in ("declarations", "imports", "exports", "providers")] == ["true", "false", "false", "true"] and n["declarations"] == "M"
+    assert of("e", "AngularInput")["input_name"] == "size" and of("e", "AngularInput")["required"] == "true"
+    g = of("g", "Method")
+    assert (g["parameter_count"], g["has_destructuring"], g["has_defaults"], g["has_rest_params"], g["has_type_annotations"], g["method_kind"]) == ("4", "true", "true", "true", "true", "method")
+    assert of("constructor", "Constructor")["parameter_count"] == "1" and of("f", "Getter")["parameter_count"] == "0"
+    var = {e.name: e.props for e in p.entities if e.type in ("Variable", "ArrayPattern")}
+    assert var["l"]["has_template_literal"] == "true" and var["[n]"]["has_spread_operator"] == "true" and var["o"]["is_object_literal"] == "true" and var["o"]["declaration_type"] == "var"
+    assert var["s"]["is_arrow_function_assignment"] == "true" and var["u"]["is_function_assignment"] == "true" and var["l"]["modern_js_complexity"] == "1" and var["[n]"]["modern_js_complexity"] == "2"
+    arrow = of("s", "ArrowFunction")
+    assert (arrow["function_style"], arrow["parameter_count"], arrow["is_async"]) == ("arrow", "1", "true")
+    assert all(len(e.props.get("code_snippet", "")) <= 500 for e in p.entities) and m["code_snippet"].startswith("class M {")
+
+
 def test_blanking_keeps_offsets():
     assert len(blanked(TS)) == len(TS) and "Nope" not in blanked(TS) and blanked("a = b / c; d = 'x}y';") == "a = b / c; d = '   ';"
     assert blanked("`a\n${b}` // z") == "` \n    `     "
@@ -98,7 +155,13 @@ def test_blanking_keeps_offsets():
 
 def test_markup():
     assert links(parse("a.html", "<app-b></app-b><app-a/><app-b>", "html"), "USES_COMPONENT") == ["?selector:app-a", "?selector:app-b"]
-    assert links(parse("s/a.scss", "@use './v';\n/* @import 'no'; */ @import \"../w\";", "css"), "IMPORTS_STYLE") == ["?file:s/v", "?file:w"]
+    assert links(parse("s/a.scss", "@use './v';\n/* @import 'no'; */ @import \"../w\";", "css"), "IMPORTS_STYLE") == ["?style:../w", "?style:./v"]
+    props = parse("s/a.component.scss", "/* {{ */ $a: 1px; @mixin m { } @function f() { } .x > .y { .z { w: $a } }\n:host { } ::ng-deep mat-card { }", "css").entities[0].props
+    want = {"style_type": "scss", "is_component_style": "true", "variable_count": "1", "mixins": "m", "function_count": "1", "max_nesting_depth": "4", "host_selectors": "1", "deep_selectors": "1", "material_components": "mat-card"}
+    assert {k: props[k] for k in want} == want and props["selectors"].split(",") == sorted(props["selectors"].split(",")) and ".x > .y" in props["selectors"]
+    props = parse("a.html", "<app-a *ngIf='x' [p]='1' (e)='f()'>{{ v }}</app-a><mat-b>", "html").entities[0].props
+    assert (props["template_type"], props["angular_directives"], props["custom_components"], props["material_components"], props["property_bindings"], props["interpolations"]) == ("angular", "*ngIf", "app-a", "mat-b", "1", "1")
+    assert parse("a.html", "<p>plain</p>", "html").entities[0].props["template_type"] == "html"
 
 
 def test_registry_takes_parsers_and_survives_them():
