@@ -77,6 +77,12 @@ class GraphCatalog:
         return [(n, "NODE") for n in sorted(self.nodes)] + [(n, "REL") for n in sorted(self.rels)]
 
 
+    def columns(self) -> list[tuple[str, str, str, str]]:
+        """(name, NODE or REL, column, data type) of every table, a relationship type's once."""
+        out = [(n, "NODE", f.name, f.dataType.simpleString()) for n in sorted(self.nodes) for f in self.node(n).schema]
+        return out + [(n, "REL", f.name, f.dataType.simpleString()) for n in sorted(self.rels) for f in self.rels[n][0].rows().schema]
+
+
 # The code graph. Label and relationship names and their columns are the data model that queries name.
 _KINDS = {"b": T.BooleanType(), "n": T.LongType(), "s": T.StringType()}
 _LINES = "line_start:n line_end:n"
@@ -109,12 +115,31 @@ NODE_COLUMNS = {
     "ExternalProperty": "file_id:s object_name:s property_path:s line_number:n",
     "ExternalFunction": "file_id:s object_name:s line_number:n",
 }
+#: What parsers tell of an entity beyond those columns; views have these after them.
+_PARAMETERS = "parameters:s parameter_count:n has_destructuring:b has_defaults:b has_rest_params:b has_type_annotations:b"
+_MORE = {
+    "File": "language:s framework:s template_type:s angular_directives:s custom_components:s material_components:s property_bindings:n event_bindings:n interpolations:n "
+    "style_type:s is_component_style:b selector_count:n selectors:s rule_count:n import_count:n imports:s scss_variables:s variable_count:n mixins:s mixin_count:n "
+    "functions:s function_count:n max_nesting_depth:n host_selectors:n deep_selectors:n",
+    "Class": "extends:s method_count:n property_count:n",
+    "Function": f"{_PARAMETERS} function_style:s is_arrow:b",
+    "ArrowFunction": f"{_PARAMETERS} function_style:s is_arrow:b",
+    "GeneratorFunction": f"{_PARAMETERS} function_style:s is_arrow:b",
+    "Method": f"{_PARAMETERS} method_kind:s",
+    "Constructor": _PARAMETERS,
+    "Variable": "declaration_type:s has_destructuring:b has_template_literal:b has_spread_operator:b is_object_literal:b has_array_syntax:b "
+    "is_arrow_function_assignment:b is_function_assignment:b is_async_assignment:b modern_js_complexity:n",
+    "Import": "is_relative:b is_default:b is_namespace:b",
+    "AngularComponent": "template:s has_inline_styles:b class_name:s",
+    "AngularModule": "has_declarations:b has_imports:b has_exports:b has_providers:b",
+}
+MORE_COLUMNS = {label: " ".join(filter(None, (_MORE.get(label, ""), "code_snippet:s"))) for label in NODE_COLUMNS if label not in ("File", "Module")} | {"File": _MORE["File"]}
 REL_COLUMNS = {
     "CALLS": ("Function", "Function", "call_type:s line_number:n"),
     "IMPORTS": ("File", "File", "import_type:s"),
     "INHERITS": ("Class", "Class", ""),
     "USES": ("Function", "Variable", "usage_type:s line_number:n"),
-    "DECORATES": ("Function", "Function", "decorator_name:s"),
+    "DECORATES": ("Function", "Function", "decorator_name:s line_number:n"),
     "EXPORTS": ("File", "Export", "export_type:s symbol:s"),
     "ACCESSES": ("Function", "Variable", "property_path:s access_location:n"),
     "IMPLEMENTS": ("Class", "Interface", ""),
@@ -141,7 +166,7 @@ def _fields(text: str) -> list[T.StructField]:
 def node_schema(label: str) -> T.StructType:
     """Stored columns of a label; file_path is kept beside file_id on all labels, so that queries need no join."""
     more = [] if label == "File" else [T.StructField("file_path", T.StringType())]
-    return T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), *_fields(NODE_COLUMNS[label]), *more])
+    return T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), *_fields(NODE_COLUMNS[label]), *_fields(MORE_COLUMNS.get(label, "")), *more])
 
 
 def rel_schema(name: str) -> T.StructType:

@@ -3,14 +3,14 @@
 Covered: MATCH and OPTIONAL MATCH with node and relationship patterns, inline properties, both directions and none,
 variable length, path variables; WHERE with comparisons, logic, string predicates, IN, IS NULL, exists(), pattern
 predicates and count{}; WITH; RETURN [DISTINCT] with aliases and aggregates; ORDER BY; SKIP; LIMIT; parameters; CALL
-show_tables(). Each bound variable is a set of columns `var.property`; Catalyst prunes what is not asked for. Patterns
-become joins, pattern predicates semi and anti joins, variable length loops in operators.patterns.
+show_tables() and schema.info(). Each bound variable is a set of columns `var.property`; Catalyst prunes what is not
+asked for. Patterns become joins, pattern predicates semi and anti joins, variable length loops in operators.patterns.
 
 Bounds of `*`: with both bounds, walks (of a cyclic pattern one row for each start and length); without an upper one,
-reachability at the least depth, or paths that repeat no node, up to MAX_DEPTH, where the path itself is asked for. A
-cyclic pattern (a)-[*]->(a) without an upper bound has no limit of length: each start once, at the least length from the
-lower bound on, or, where the path or relationship has a name, every cycle that repeats no node but its start. Paths
-asked for go as far as a written bound.
+reachability at the least depth, or every path that repeats no node where the path itself is asked for. A cyclic
+pattern (a)-[*]->(a) without an upper bound gives each start once, at the least length from the lower bound on, or, where
+the path or relationship has a name, every cycle that repeats no node but its start. No length is cut; the number of
+paths can grow exponentially.
 """
 
 from __future__ import annotations
@@ -25,9 +25,6 @@ from plexgraph.operators import patterns as P
 from plexgraph.plans.catalog import GraphCatalog
 from plexgraph.storage import stash
 
-MAX_DEPTH = 30
-
-
 class CypherError(ValueError):
     """Text that is not in the supported language."""
 
@@ -148,7 +145,10 @@ class Parser:
             elif self.take("RETURN"):
                 out.append(self.projection("return"))
             elif self.take("CALL"):
-                c = Clause("call", items=[Item(("name", self.name()), "")])
+                called = self.name()
+                while self.take("."):
+                    called += "." + self.name()
+                c = Clause("call", items=[Item(("name", called), "")])
                 while self.at < len(self.tokens) and not self.peek("RETURN"):
                     self.at += 1
                 self.need("RETURN")
@@ -565,7 +565,7 @@ class Planner:
         # The lengths of a cycle without an upper bound can be told apart only by following each.
         each = cyclic and r.most is None and (path or not r.var.startswith("_"))
         if path and self.path_values or each:
-            found = P.paths(seeds, e, r.least, r.most or (None if cyclic else MAX_DEPTH), close=cyclic)
+            found = P.paths(seeds, e, r.least, r.most, close=cyclic)
             nodes = F.reverse("path") if back else F.col("path")
             found = found.select("start", "node", "depth", F.array_join(nodes, " -> ").alias("path"))
         elif r.most is not None:
@@ -795,9 +795,12 @@ def run(catalog: GraphCatalog, text: str, params: dict | None = None) -> DataFra
         from pyspark.sql import SparkSession
 
         spark = SparkSession.getActiveSession()
-        if clauses[0].items[0].expr[1].lower() != "show_tables":
-            raise CypherError("unknown procedure")
-        return spark.createDataFrame(catalog.tables(), "name string, type string")
+        called = clauses[0].items[0].expr[1].lower()
+        if called == "show_tables":
+            return spark.createDataFrame(catalog.tables(), "name string, type string")
+        if called == "schema.info" or called.endswith(".schema.info"):
+            return spark.createDataFrame(catalog.columns(), "name string, type string, column string, data_type string")
+        raise CypherError("unknown procedure")
     plan = Planner(catalog, params or {})
     named = {p.path for c in clauses for p in c.patterns if p.path}
     plan.path_values = any(i.expr == ("name", n) for c in clauses for i in c.items for n in named)

@@ -387,6 +387,17 @@ def view_window(spark, sf):
     return V.in_window(g.node("Part"), g.edges("CALLS"), (10, 920, 20, 960), x="size", y="price")[1]
 
 
+@query("view_styles", "SELECT label, '#6b7280' AS colour, CAST(10 AS INTEGER) AS size, count(*) AS n FROM nodes GROUP BY 1", "nodes")
+def view_styles(spark, sf):
+    rows = V.styled(star_graph(spark, sf).any_node(), "label")
+    return rows.groupBy("label", "colour", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("view_chunks", "SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS chunk, o_orderkey AS id FROM orders")
+def view_chunks(spark, sf):
+    return V.chunked(star_graph(spark, sf).node("Order").select("id"), "id", least=100).select("chunk", "id")
+
+
 @query("delete_detach", "SELECT src, dst, count(*) AS n FROM calls WHERE src NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) AND dst NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) GROUP BY 1, 2", "calls")
 def delete_detach(spark, sf):
     g = star_graph(spark, sf)
@@ -416,7 +427,7 @@ def loc_count(spark, sf):
 
 @query(
     "html_links_bindings",
-    r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<(app-[a-zA-Z0-9-]+)', 1))) AS BIGINT) AS components,
+    r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<(app-[a-z-]+)', 1))) AS BIGINT) AS components,
 CAST(len(regexp_extract_all(html, '\[.*?\]')) AS BIGINT) AS properties, CAST(len(regexp_extract_all(html, '\(.*?\)')) AS BIGINT) AS events,
 CAST(len(regexp_extract_all(html, '\{\{.*?\}\}')) AS BIGINT) AS interpolations, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ' ') AS links FROM pages""",
 )

@@ -96,17 +96,17 @@ def test_text_features(spark):
     css = "/* {{ } */ @use './v'; $a: 1px; @mixin m { } .x { .y { .z { color: red } } } :host { } ::ng-deep mat-card { }"
     r = spark.createDataFrame([("a.component.scss", css)], "path string, text string")
     got = r.select(*[c.alias(n) for n, c in X.style_features(r.text, r.path).items()]).first()
-    assert got.css_type == "scss" and got.max_nesting == 3 and got.imports == ["./v"] and got.variables == ["$a"] and got.mixins == ["m"] and got.is_angular and got.host_rules == 1
+    assert got.css_type == "scss" and got.max_nesting == 4 and got.imports == ["./v"] and got.variables == ["a"] and got.mixins == ["m"] and got.is_angular and got.host_rules == 1
     html = r.select(*[c.alias(n) for n, c in X.html_features(__import__("pyspark").sql.functions.lit("<app-a *ngIf='x' [p]='1' (e)='f()'>{{ v }}</app-a><mat-b>")).items()]).first()
     assert html.is_angular and html.components == ["app-a"] and html.material_components == ["mat-b"] and html.directives == ["*ngIf"] and html.interpolations == 1
     assert spark.createDataFrame([("a\n\n# b\n c # d",), (None,)], "t string").select(X.lines_of_code(__import__("pyspark").sql.functions.col("t"))).collect() == [(2,), (0,)]
 
 
 def test_discovery_rules(spark):
-    paths = {"a/b.component.ts": "angular", "a/b.component.html": "angular_template", "x.PY": "python", "Dockerfile": "dockerfile", "a.ts": "typescript", "b.txt": None, "s.scss": "css"}
+    paths = {"a/b.component.ts": "angular", "a/b.component.html": "angular_template", "x.PY": "python", "Dockerfile": "dockerfile", "a.ts": "typescript", "b.txt": None, "s.scss": "css", "a.component.sass": "angular_style", "b.pyw": "python", "c.pyi": "python", "e.cjs": None, "d.directive.ts": "typescript"}
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert {r.p: r.t for r in df.select("p", file_type(df.p).alias("t")).collect()} == paths
-    out = {"node_modules/a.js": True, "a/.git/x": True, "a/lib/b.py": True, "liberty.py": False, "a/b.pyc": True, "x.min.js": True, "a/b.py": False}
+    out = {"node_modules/a.js": True, "a/.git/x": True, "a/lib/b.py": True, "liberty.py": False, "a/b.pyc": True, "x.min.js": False, "lib/x.py": True, "a/obj/b.ts": True, "a/b.py": False}
     df = spark.createDataFrame([(p,) for p in out], "p string")
     assert {r.p: r.e for r in df.select("p", excluded(df.p).alias("e")).collect()} == out
 
@@ -163,6 +163,8 @@ def test_cypher_cycles_beyond_ten_nodes(spark, tmp_path):
     assert {r.n for r in e.query("MATCH path = (f:File)-[:IMPORTS*]->(f) RETURN f.path AS p, length(path) AS n").collect()} == {12}
     far = e.query("MATCH path = (a:Function {name: 'call00'})-[:CALLS*1..50]->(b:Function) RETURN path").collect()
     assert max(r.path.length for r in far) == 34
+    far = e.query("MATCH path = (a:Function {name: 'call00'})-[:CALLS*]->(b:Function) RETURN path").collect()
+    assert sorted(r.path.length for r in far) == list(range(1, 35))
 
 
 def test_cypher_counts_every_walk(spark, tmp_path):
