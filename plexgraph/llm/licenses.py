@@ -11,16 +11,20 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexgraph.llm.common import table
+from plexgraph.llm.license_texts import FULL
 
 K = 5
 CONTAINED = 0.8
 #: The probability at most that a window with a match shares no band with the template.
 MISS = 1e-6
+#: Words of templates that one pass over the documents looks for: this bounds the plan's literals and what is broadcast.
+PASS_WORDS = 20_000
 _SPLIT = "[^a-z0-9]+"
 
 TEMPLATES = {
@@ -56,6 +60,7 @@ TEMPLATES = {
     "and by any means.",
     "boost-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
     "all-rights-line": "All rights reserved. No part of this publication may be reproduced",
+    **FULL,
 }
 #: Notices of fewer than K words. They stand apart from TEMPLATES, which the SQL of op9_license_scan lists.
 SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved."}
@@ -128,7 +133,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     one window holds and first_word the number (from 0) of the first word of the earliest such window. Words are runs of
     letters and digits a-z, 0-9 after lower-casing. A template of fewer than 5 words is one shingle of all its words.
     Defined results: a null or empty text has no matches; rows that share an id are one document; rows with a null id
-    are too; templates without words are left out; an empty table gives no rows.
+    are too; templates without words are left out; an empty table gives no rows. Very many templates are looked for in
+    several passes of bounded size.
     """
     spark = docs.sparkSession
     split = {name: re.findall("[a-z0-9]+", text.lower()) for name, text in templates.items()}
@@ -137,6 +143,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
         rest = {name: templates[name] for name, w in split.items() if len(w) >= K}
         part = _short(docs, short, id_col, text_col)
         return scan(docs, rest, contained, id_col, text_col).unionByName(part) if rest else part
+    parts, held = [{}], 0
+    for name, w in split.items():
+        if w:
+            if parts[-1] and held + len(w) > PASS_WORDS:
+                parts, held = [*parts, {}], 0
+            parts[-1][name] = templates[name]
+            held += len(w)
+    if len(parts) > 1:
+        return reduce(DataFrame.unionByName, [scan(docs, part, contained, id_col, text_col) for part in parts])
     known = _templates(spark, templates, contained)
     listed = known.collect()
     every = F.array(*[F.lit(h) for h in sorted({h for r in listed for h in r["_hashes"]})]).cast("array<bigint>")

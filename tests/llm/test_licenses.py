@@ -43,6 +43,22 @@ def test_equals_index_of_all_shingles(spark):
     assert got == brute(data) and len({g[1] for g in got}) == len(licenses.TEMPLATES)
 
 
+def test_templates_in_several_passes(spark, monkeypatch):
+    data = rows()[:40]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(licenses, "PASS_WORDS", 400)
+    assert sorted(map(tuple, licenses.scan(df).select("doc_id", "license", "template_shingles", "matched", "first_word").collect())) == brute(data)
+
+
+def test_notices_in_awkward_rows(spark):
+    """Notices in repeated rows, shared and null ids, a very long text, and beside columns with clashing names."""
+    notice, filler = licenses.TEMPLATES["mit"], "stone river light under seven walks " * 12_000
+    data = [(1, notice), (1, notice), (2, "x " + notice), (2, "no notice here"), (None, notice), (None, notice), (3, filler + notice + filler), (4, None), (5, "")]
+    df = spark.createDataFrame([(*r, "n", 1, ["w"]) for r in data], "doc_id long, text string, name string, n int, _words array<string>").repartition(3)
+    got = sorted(((r.doc_id or 0), r.license, r.matched == r.template_shingles) for r in licenses.scan(df, {"mit": notice}).collect())
+    assert got == [(0, "mit", True), (1, "mit", True), (2, "mit", True), (3, "mit", True)]
+
+
 def test_awkward_table_and_no_rows(awkward, no_docs, spark):
     assert licenses.scan(awkward).count() == 0 and licenses.scan(no_docs).count() == 0
     repeated = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "Released under the MIT License.")], "doc_id long, text string")
