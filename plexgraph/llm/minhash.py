@@ -36,6 +36,8 @@ SLOTS = BANDS * ROWS  # at most 256: slot numbers are bytes, ranks have 8 bits f
 LEADERS = 1
 #: What one side of a block holds at most: nodes, and shingles unless one document has more.
 BLOCK_NODES, BLOCK_ITEMS = 512, 200_000
+#: Rows of a table of buckets that may be broadcast (24 bytes each); beyond, it is joined by shuffle.
+FEW = 100_000
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -450,7 +452,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         split = stash(split.select("key", F.col("l.node").alias("lead"), F.col("l.root").alias("lead_root")), "dup-split")
         if split.isEmpty():
             break
-        known = stash(known.join(split, "key"), "dup-members")
+        known = stash(known.join(F.broadcast(split) if split.count() <= FEW else split, "key"), "dup-members")
         members = known.select("key", "node", "n")
         if turn < LEADERS:
             new = known.filter(F.col("root") != F.col("lead_root")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
