@@ -1,8 +1,7 @@
 """A corpus pipeline of five stages over documents; each stage's rows are written and read again for the next.
 
-Each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of docs. Null or
-empty texts, null ids, repeated rows and extra columns go through as each operator's docstring says; an empty table
-stays empty.
+Each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of docs, extra
+ones and those with names that operators use themselves included. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,7 +18,9 @@ QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects. It is trained on the labels of sf_dir."""
+    """Drops rows that the classifier rejects. It is trained on the labels of sf_dir, of which null ids and other values
+    than 0 and 1 are passed over. Every row is scored by its own text, a null text as an empty one, so rows that are
+    repeated go or stay together; without labels every row scores 0.5 and stays."""
     ship(spark)
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
     name = unused(docs, "__score")
@@ -35,19 +36,23 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in a text by a mark. No document goes."""
+    """Replaces every secret in a text by a mark; n_chars follows the new text. No row goes: null and empty texts, null ids
+    and repeated rows come out as they went in, apart from the secrets in their texts."""
     ship(spark)
     return secrets.redact(docs, secrets.weights_of(spark))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's weight asks for: repeated rows, or none."""
+    """Takes each row up to three times, as its source's weight asks for: repeated rows, or none. Null sources are one
+    source, weighed last; texts without words have size 0 and go with their hash; rows without an id are told apart by
+    their text, and equal rows by their place in the file."""
     ship(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all rows into sequences of 1024 tokens: a row for each piece."""
+    """Packs all rows into sequences of at most 1024 tokens: a row for each piece (doc_id, piece, start, length, ids_crc32,
+    sequence_id, offset). A null or empty text is the end id alone; null ids and repeated rows are packed like any."""
     ship(spark)
     return packing.pack(docs)
 
