@@ -154,7 +154,9 @@ class _Walk:
         i = self.out.entity(name, "Import", node.lineno, node.lineno, self.scope, module_name=module, alias=alias, is_from_import=from_, line_number=node.lineno, file_id=self.file.id)
         self.out.link(self.file.id, i.id, "FILE_CONTAINS_IMPORT")
         if goal:
-            self.out.link(self.file.id, f"?module:{goal}", "IMPORTS", import_type="from" if from_ else "import")
+            # From the file, and from the import itself: queries follow either.
+            for end in (self.file.id, i.id):
+                self.out.link(end, f"?module:{goal}", "IMPORTS", import_type="from" if from_ else "import")
 
     def import_(self, node: ast.Import) -> None:
         for a in node.names:

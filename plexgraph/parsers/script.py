@@ -159,7 +159,9 @@ class _Scan:
             default = re.match(rf"\s*(?:type\s+)?({_NAME})", names)
             e = self.add(target, "Import", m.start(), end, module_name=target, is_relative=local, is_default=bool(default), is_namespace="*" in names, line_number=self.line(m.start()), is_from_import=True)
             goal = f"?file:{relative(self.out.path, target)}" if local else f"?module:{target}"
-            self.out.link(self.file.id, goal, "IMPORTS", import_type="es")
+            # From the file, and from the import itself: queries follow either.
+            for end in (self.file.id, e.id):
+                self.out.link(end, goal, "IMPORTS", import_type="es")
             braces = re.search(r"\{([^}]*)\}", names)
             for part in braces[1].split(",") if braces else ():
                 word = re.match(rf"\s*(?:type\s+)?({_NAME})", part)

@@ -59,9 +59,17 @@ class GraphCatalog:
             raise ValueError(f"{name} joins several pairs of labels; use any_edge")
         return found[0].rows()
 
-    def any_node(self, labels: list[str] | None = None) -> DataFrame:
-        """label, gid (label:id) and name of every node."""
-        parts = [self.node(x).select(F.lit(x).alias("label"), F.concat_ws(":", F.lit(x), F.col("id").cast("string")).alias("gid"), "name") for x in labels or self.nodes]
+    def any_node(self, labels: list[str] | None = None, properties: tuple[str, ...] = ()) -> DataFrame:
+        """label, gid (label:id), name and the named properties of every node: null where a label does not have one, text
+        where labels differ in its type."""
+        rows = {x: self.node(x) for x in labels or self.nodes}
+        kinds = {p: {t for r in rows.values() for c, t in r.dtypes if c == p} for p in properties if p not in ("id", "name", "label", "gid")}
+        kinds = {p: t.pop() if len(t) == 1 else "string" for p, t in kinds.items() if t}
+
+        def more(r: DataFrame) -> list:
+            return [(F.col(f"`{p}`") if p in r.columns else F.lit(None)).cast(t).alias(p) for p, t in kinds.items()]
+
+        parts = [r.select(F.lit(x).alias("label"), F.concat_ws(":", F.lit(x), F.col("id").cast("string")).alias("gid"), "name", *more(r)) for x, r in rows.items()]
         return reduce(DataFrame.unionByName, parts)
 
     def any_edge(self, name: str | None = None) -> DataFrame:
@@ -165,8 +173,7 @@ def _fields(text: str) -> list[T.StructField]:
 
 def node_schema(label: str) -> T.StructType:
     """Stored columns of a label; file_path is kept beside file_id on all labels, so that queries need no join."""
-    more = [] if label == "File" else [T.StructField("file_path", T.StringType())]
-    return T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), *_fields(NODE_COLUMNS[label]), *_fields(MORE_COLUMNS.get(label, "")), *more])
+    return T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), *_fields(NODE_COLUMNS[label]), *_fields(MORE_COLUMNS.get(label, "")), T.StructField("file_path", T.StringType())])
 
 
 def rel_schema(name: str) -> T.StructType:

@@ -407,8 +407,8 @@ def _conjuncts(e: tuple | None) -> list[tuple]:
 
 
 class Planner:
-    def __init__(self, catalog: GraphCatalog, params: dict):
-        self.g, self.params = catalog, params
+    def __init__(self, catalog: GraphCatalog, params: dict, properties: tuple[str, ...] = ()):
+        self.g, self.params, self.properties = catalog, params, properties  # properties: all that the text names
         self.rows: DataFrame | None = None
         self.labels: dict[str, str | None] = {}  # of bound nodes
         self.edges: dict[str, str | None] = {}  # of bound relationships: their type
@@ -416,6 +416,7 @@ class Planner:
         self.scalars: set[str] = set()
         self.pending: list[tuple] = []
         self.path_values = False
+        self.joining: set[str] = set()  # columns of rows that are about to be joined
         self.once = False  # the next result does not depend on how often a row stands
 
     # Columns of a variable are `var.property`.
@@ -430,7 +431,9 @@ class Planner:
             rows = self.g.node(node.label)
             rows = rows.withColumns({"__label": F.lit(node.label), "__gid": F.concat_ws(":", F.lit(node.label), F.col("id").cast("string"))})
         else:
-            rows = self.g.any_node().select(F.col("gid").alias("id"), "name", F.col("label").alias("__label"), F.col("gid").alias("__gid"))
+            rows = self.g.any_node(properties=self.properties)
+            more = [c for c in rows.columns if c not in ("label", "gid", "name")]
+            rows = rows.select(F.col("gid").alias("id"), "name", *more, F.col("label").alias("__label"), F.col("gid").alias("__gid"))
         for key, value in node.props.items():
             rows = rows.filter(F.col(key) == self.value(value))
         return rows.select(*[F.col(f"`{c}`").alias(f"{node.var}.{c}") for c in rows.columns])
@@ -503,13 +506,14 @@ class Planner:
 
     def join_product(self, rows: DataFrame, node: Node) -> DataFrame:
         """Another part of the pattern: joined on the equalities that name both sides; never a bare product."""
-        on = []
+        on, self.joining = [], set(rows.columns)
         for c in list(self.pending):
             if c[0] == "=" and variables(c) <= self.bound() | {node.var} and node.var in variables(c):
                 self.labels[node.var] = node.label
                 on.append(self.value(c))
                 del self.labels[node.var]
                 self.pending.remove(c)
+        self.joining = set()
         if not on:
             raise CypherError("parts of a pattern must be joined by an equality")
         cond = on[0]
@@ -659,7 +663,7 @@ class Planner:
             return F.col(f"__count{id(e[1])}")
         if kind == "prop" and e[1][0] == "name":
             var, prop = e[1][1], e[2]
-            if f"{var}.{prop}" not in self.rows.columns:
+            if f"{var}.{prop}" not in self.rows.columns and f"{var}.{prop}" not in self.joining:
                 if var in self.scalars:
                     return F.col(f"`{var}`").getField(prop)
                 if var not in self.bound():
@@ -801,7 +805,9 @@ def run(catalog: GraphCatalog, text: str, params: dict | None = None) -> DataFra
         if called == "schema.info" or called.endswith(".schema.info"):
             return spark.createDataFrame(catalog.columns(), "name string, type string, column string, data_type string")
         raise CypherError("unknown procedure")
-    plan = Planner(catalog, params or {})
+    words = tokens(text)
+    named = {b.text.strip("`") for a, b in zip(words, words[1:]) if a.text == "." and b.kind == "name"} | {a.text.strip("`") for a, b in zip(words, words[1:]) if a.kind == "name" and b.text == ":"}
+    plan = Planner(catalog, params or {}, tuple(sorted(named)))
     named = {p.path for c in clauses for p in c.patterns if p.path}
     plan.path_values = any(i.expr == ("name", n) for c in clauses for i in c.items for n in named)
     for n, c in enumerate(clauses):

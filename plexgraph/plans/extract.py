@@ -169,8 +169,7 @@ def label_view(entities: DataFrame, label: str) -> DataFrame:
         name, kind = item.split(":")
         own = F.col(name) if name in ("line_start", "line_end") else F.coalesce(F.try_element_at("props", F.lit(name)), F.col("file_path") if name == "path" else F.lit(None))
         columns.append(own.cast(kinds[kind]).alias(name))
-    path = [] if "path" in NODE_COLUMNS[label] and label == "File" else [F.col("file_path")]
-    return entities.filter(F.col("type") == label).select("id", "name", *columns, *path)
+    return entities.filter(F.col("type") == label).select("id", "name", *columns, "file_path")
 
 
 def rel_view(edges: DataFrame, name: str) -> DataFrame:

@@ -91,6 +91,17 @@ _cypher(
 LEFT JOIN calls c ON c.dst = p_partkey LEFT JOIN inherits i ON i.dst = p_partkey GROUP BY 1""",
     "calls inherits",
 )
+_cypher(
+    "cypher_duplicate_names",
+    "MATCH (a:Part), (b:Part) WHERE a.name = b.name AND a.brand <> b.brand AND a.id < 40 RETURN a.name AS name, a.id AS id, COUNT(DISTINCT b) AS others",
+    "SELECT a.p_name AS name, a.p_partkey AS id, count(DISTINCT b.p_partkey) AS others FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand WHERE a.p_partkey < 40 GROUP BY 1, 2",
+)
+_cypher(
+    "cypher_any_node_properties",
+    "MATCH (n) WHERE n.balance > 9000 OR n.size = 7 RETURN labels(n)[0] AS kind, n.name AS name, n.balance AS balance, n.size AS size",
+    """SELECT 'Customer' AS kind, c_name AS name, c_acctbal AS balance, CAST(NULL AS BIGINT) AS size FROM customer WHERE c_acctbal > 9000
+UNION ALL SELECT 'Supplier', s_name, s_acctbal, NULL FROM supplier WHERE s_acctbal > 9000 UNION ALL SELECT 'Part', p_name, NULL, CAST(p_size AS BIGINT) FROM part WHERE p_size = 7""",
+)
 _cypher(
     "cypher_contains",
     "MATCH (n:Nation)-[:CONTAINS]->(x) RETURN n.name AS nation, labels(x)[0] AS kind, COUNT(*) AS n",
@@ -322,6 +333,10 @@ _EXPECTED = {
             ("FILE_CONTAINS_VARIABLE", "File", "use.py", "Variable", "LIMIT"),
             ("FUNCTION_CONTAINS_VARIABLE", "Function", "main", "Variable", "s"),
             ("IMPORTS", "File", "a.component.ts", "File", "b.ts"),
+            ("IMPORTS", "Import", "./b", "File", "b.ts"),
+            ("IMPORTS", "Import", "./a.component", "File", "a.component.ts"),
+            ("IMPORTS", "Import", "Square", "File", "base.py"),
+            ("IMPORTS", "Import", "helper", "File", "base.py"),
             ("IMPORTS", "File", "b.ts", "File", "a.component.ts"),
             ("IMPORTS", "File", "use.py", "File", "base.py"),
             ("IMPORTS", "File", "use.py", "File", "base.py"),

@@ -44,7 +44,10 @@ def test_edges_are_resolved_across_files(engine):
     assert engine.query("MATCH (f:File)-[:USES_COMPONENT]->(c:AngularComponent) RETURN c.name AS n").count() == 1
 
 
-ARGS = {"name": "helper", "path": "pkg/use.py", "part": "pkg", "least": 0, "lines": 1, "most": 1, "from": "main", "to": "helper"}
+ARGS = {
+    "function_name": "helper", "class_name": "Shape", "file_name": "use.py", "path": "pkg/use.py", "part": "pkg", "min_complexity": 0, "min_lines": 1, "max_params": 1,
+    "start_function": "main", "end_function": "helper", "entry_point": "main",
+}
 
 
 @pytest.mark.parametrize("name", sorted(TEMPLATES))
@@ -54,11 +57,19 @@ def test_template_runs(engine, name):
 
 def test_template_results(engine):
     one = lambda n, **p: [tuple(r) for r in engine.run_template(n, **p).collect()]
-    assert one("subclasses", name="Shape") == [("Square", "pkg/base.py")]
+    assert one("find_subclasses", class_name="Shape") == [("Square", "pkg/base.py")]
     assert one("mutual") == [("src/app/a.component.ts", "src/app/b.ts")]
-    assert ("Shape", "pkg/base.py") in one("abstract_classes") and one("count_complex", least=1) == [(1,)]
-    assert one("analyse_function", name="helper")[0][3] == ["area", "main"] or "main" in one("analyse_function", name="helper")[0][3] + one("analyse_function", name="helper")[-1][3]
-    assert one("chain", **{"from": "main", "to": "helper"})[0][0] == 1
+    assert ("Shape", "pkg/base.py", None) in one("abstract_classes") and one("count_complex", min_complexity=1) == [(1,)]
+    callers = {c for r in one("analyze_function", function_name="helper") for c in r[1]}
+    assert callers == {"area", "main"} and one("analyze_function", function_name="area")[0][3] in ("Shape", "Square")
+    assert one("dependency_chain", start_function="main", end_function="helper")[0][0].length == 1
+    assert one("file_dependencies", file_name="use.py") == [("base.py", "pkg/base.py")] and one("dependent_files", file_name="base.py") == [("use.py", "pkg/use.py")]
+    assert one("external_dependencies") == [("abc", 1)] and one("most_imported")[0] == ("./a.component", 1)
+    assert one("class_usage", class_name="B") == [("a.component.ts", "File", "src/app/a.component.ts")]
+    assert one("duplicate_names") == [("helper", ["pkg/base.py", "src/app/a.component.ts"])] or {n: sorted(f) for n, f in one("duplicate_names")} == {"helper": ["pkg/base.py", "src/app/a.component.ts"]}
+    assert [r[:2] for r in one("function_impact", function_name="helper")][:1] == [("area", "Function")]
+    assert one("reachable_from_entry", entry_point="main") == [("helper", "pkg/base.py", 1)]
+    assert one("analyze_file", file_name="use.py")[0][2] == ["base.py"] and set(one("analyze_file", file_name="use.py")[0][1]) == {"Module", "Function", "Import", "Variable"}
 
 
 def test_queries_are_read_only_and_errors_are_told(engine):

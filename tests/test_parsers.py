@@ -62,7 +62,7 @@ def test_constant_annotations_and_nested_targets():
     assert kinds(p)["Variable"] == ["x", "y"] and links(p, "CALLS") == ["?function:i", "?function:h", "?function:super"]
     mark = next(x for x in p.links if x.type == "DECORATES")
     assert mark.props == {"decorator_name": "deco.x", "line_number": "5"}
-    assert [e.props["module_name"] for e in p.entities if e.type == "Import"] == ["m", ""] and links(p, "IMPORTS") == ["?module:pkg.m"]
+    assert [e.props["module_name"] for e in p.entities if e.type == "Import"] == ["m", ""] and links(p, "IMPORTS") == ["?module:pkg.m"] * 2
 
 
 def test_counts_of_inner_functions_reach_the_outer_one():
@@ -102,7 +102,7 @@ def test_typescript():
     assert k["Interface"] == ["I"] and k["Enum"] == ["E"] and k["Type"] == ["T"] and k["ArrowFunction"] == ["f"] and k["GeneratorFunction"] == ["gen"] and k["Function"] == ["go"]
     assert k["AngularComponent"] == ["app-a"] and k["AngularInput"] == ["size"] and k["ArrayPattern"] == ["[a, b]"] and k["Export"] == ["A", "f"]
     assert links(p, "EXTENDS") == ["?class:Base"] and links(p, "IMPLEMENTS") == ["?interface:I", "?interface:J"]
-    assert links(p, "USES_TEMPLATE") == ["?template:./a.html"] and links(p, "USES_STYLES") == ["?style:./a.css"] and links(p, "IMPORTS") == ["?file:src/b"] and links(p, "USES") == ["?name:B", "?name:C"]
+    assert links(p, "USES_TEMPLATE") == ["?template:./a.html"] and links(p, "USES_STYLES") == ["?style:./a.css"] and links(p, "IMPORTS") == ["?file:src/b"] * 2 and links(p, "USES") == ["?name:B", "?name:C"]
     assert set(links(p, "CALLS")) == {"?function:A.save", "?function:helper", "?function:f", "?function:test"}
     assert next(e for e in p.entities if e.name == "load").line_start == 8
 
