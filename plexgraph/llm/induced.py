@@ -46,13 +46,13 @@ FAN = 256
 class Queue:
     """A priority queue of (symbol, position, prefix) tuples; arrays beyond `memory` tuples go to disk.
 
-    A small alphabet, or as few tuples as fit in memory, have a bucket for each symbol. A large one is cut into ranges of
-    symbols, whose tuples wait unsorted; the range that is next becomes a queue of its own.
+    A small alphabet, or few tuples (a bucket costs much more than a tuple), have a bucket for each symbol. A large one
+    is cut into ranges of symbols, whose tuples wait unsorted; the range that is next becomes a queue of its own.
     """
 
     def __init__(self, folder: str, memory: int, sign: int, symbols: int, items: int, base: int = 0):
         self.folder, self.memory, self.sign, self.base = folder, memory, sign, base
-        self.wide = 1 if symbols <= 4 * FAN or items <= memory else -(-symbols // FAN)
+        self.wide = 1 if symbols <= 4 * FAN or items <= memory // 16 else -(-symbols // FAN)
         self.heap: list[int] = []
         self.buckets: dict[int, list] = {}
         self.inner: dict[int, Queue] = {}

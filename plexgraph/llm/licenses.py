@@ -3,7 +3,8 @@
 A template of n words is looked for in windows of 2.5 n words that start every n words, so any stretch of up to 1.5 n
 words lies whole in a window. A window that holds the required part of a template's shingles has at least a known
 similarity to it; from that follows how many bands, of one MinHash row each, collide with probability 1 - MISS at least.
-Windows without any shingle of any template cannot match and get no signature. A template of fewer than K words is one
+Texts without any of the words of which every match holds one cannot match and are not
+hashed; windows without any shingle of any template cannot match and get no signature. A template of fewer than K words is one
 shingle, its whole word sequence, and is looked for by a pattern in the text. DataFrame functions only.
 """
 
@@ -107,6 +108,24 @@ def _templates(spark: SparkSession, templates: dict[str, str], contained: float)
     return spark.createDataFrame(got, "name string, n int, _bands int, _kinds array<string>, _hashes array<long>")
 
 
+def needles(templates: dict[str, list[str]], contained: float) -> list[str]:
+    """Words of which every match holds one. A match lacks at most so many of its template's distinct shingles as the
+    share allows; if the shingles that hold a needle are more than that, it cannot lack them all. Long words first, since
+    they are rare, and words of other templates' needles before new ones. templates: as words."""
+    out: dict[str, None] = {}
+    for _, words in sorted(templates.items(), key=lambda x: (len(x[1]), x[0])):
+        kinds = {tuple(words[i : i + K]) for i in range(len(words) - K + 1)}
+        may_lack = len(kinds) - math.ceil(contained * len(kinds) - 1e-9)
+        left = {g for g in kinds if not any(w in out for w in g)}
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            if len(kinds) - len(left) > may_lack:
+                break
+            if any(w in g for g in left):
+                out[w] = None
+                left = {g for g in left if w not in g}
+    return list(out)
+
+
 def _short(docs: DataFrame, templates: dict[str, list[str]], id_col: str, text_col: str) -> DataFrame:
     """scan for templates of fewer than K words, given as lists of words: each is one shingle, and the earliest window
     that holds its first occurrence in a row is the row's earliest."""
@@ -166,7 +185,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
         pair = F.transform(F.array(_hashes(w)), lambda h: F.struct(w.alias("w"), h.alias("h")))
         return F.filter(pair, lambda p: F.arrays_overlap(p["h"], every))
 
-    hits = F.flatten(F.transform(F.array(words_of(F.col(text_col))), relevant))
+    # Texts without a needle need no hashes.
+    some = F.array(*[F.lit(w) for w in needles({n: w for n, w in split.items() if w}, contained)])
+    hits = F.flatten(F.transform(F.filter(F.array(words_of(F.col(text_col))), lambda w: F.arrays_overlap(w, some)), relevant))
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.explode(hits).alias("_hit")).select("doc_id", F.col("_hit.w").alias("_words"), F.col("_hit.h").alias("_h"))
     windows = (
         hashed.select("doc_id", "_words", "_h", F.explode(classes).alias("_c"))

@@ -69,7 +69,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(raw: bytes, slice_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: bytes, slice_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of raw (letters A-Z lowered) and where each starts. Works in slices cut at white space."""
     raw = raw.translate(_LOWER)
     hashes, places, at = [], [], 0

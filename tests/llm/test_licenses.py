@@ -65,6 +65,16 @@ def test_awkward_table_and_no_rows(awkward, no_docs, spark):
     assert sorted((r.doc_id or 0, r.license) for r in licenses.scan(repeated).collect()) == [(0, "mit-line"), (1, "mit-line")]
 
 
+def test_every_match_holds_a_needle():
+    """No choice of shingles that is enough for a match avoids all needles: those without one are too few."""
+    words = {name: re.findall("[a-z0-9]+", text.lower()) for name, text in licenses.TEMPLATES.items()}
+    for share in (0.5, 0.8, 1.0):
+        found = set(licenses.needles(words, share))
+        for w in words.values():
+            kinds = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            assert sum(not found & set(g) for g in kinds) < share * len(kinds) - 1e-9
+
+
 def test_bands_miss_seldom():
     for n, kinds in ((5, 1), (7, 3), (60, 56), (300, 250)):
         hit = -(-8 * kinds // 10)
