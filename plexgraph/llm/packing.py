@@ -137,21 +137,25 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
                 theirs = np.flatnonzero(open_[where])
                 back, taker = np.concatenate([np.zeros(len(takers), dtype=np.int64), size[theirs]]), np.concatenate([takers, where[theirs]])
                 room, least = capacity - fill[taker], np.maximum(fill[d] - fill[taker], 0)
-                gain = given[:, None] - back
-                good = (gain > least) & (gain <= room)
-                good[len(own) :, : len(takers)] = False
-                left = np.where(good, room - gain, capacity)
-                best = int(left.argmin())
-                o, y = divmod(best, len(back))
-                if left[o, y] == capacity:
+                space, o, y = capacity, 0, 0
+                for lo in range(0, len(given), 64):  # so many offers at a time
+                    gain = given[lo : lo + 64, None] - back
+                    good = (gain > least) & (gain <= room)
+                    good[max(0, len(own) - lo) :, : len(takers)] = False
+                    left = np.where(good, room - gain, capacity)
+                    at = int(left.argmin())
+                    if left.flat[at] < space:
+                        space, (o, y) = int(left.flat[at]), divmod(at, len(back))
+                        o += lo
+                if space == capacity:
                     break
-                a = int(taker[y])
+                a, gain = int(taker[y]), int(given[o] - back[y])
                 moved = [own[o]] if o < len(own) else [own[one[o - len(own)]], own[two[o - len(own)]]]
                 where[moved] = a
                 if y >= len(takers):
                     where[theirs[y - len(takers)]] = d
-                fill[a] += gain[o, y]
-                fill[d] -= gain[o, y]
+                fill[a] += gain
+                fill[d] -= gain
                 gained = True
     out: list[list[int]] = [[] for _ in range(count)]
     for i, k in enumerate(where.tolist()):

@@ -142,10 +142,14 @@ def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, i
 
     Returns doc_id, size, text_crc32, shard, slot. tolerance: how far a boundary may lie from its goal, as a part of a
     shard's bytes. Defined results: a null text has size 1 and the checksum of no bytes; null ids and repeated rows take
-    slots like any row; rows equal in text and id are never told apart, so they share a part; an empty table gives no
-    rows. Other columns of docs are not read.
+    slots like any row; rows equal in text and id are told apart by the number that is stored with them, so that no part
+    must hold them all; an empty table gives no rows. Other columns of docs are not read.
     """
-    keyed = stash(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in _key_columns(id_col, text_col).items()]), "shard-keys")
+    columns = _key_columns(id_col, text_col)
+    # The id's hash in the upper 40 bits, the row's number in the others.
+    own = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 42)
+    columns["_g"] = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 24), 22).bitwiseOR(own)
+    keyed = stash(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in columns.items()]), "shard-keys")
     plan = _planned(keyed, shards, tolerance)
     part = F.col("_part")
     dealt = keyed.withColumn("_part", plan.part(F.col("_h"), F.col("_g")))
@@ -157,7 +161,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, tolerance: float =
     are sorted by it. Names that docs has itself get a trailing underscore.
 
     Every row goes to the part that its own key names, in one exchange; nothing is joined, so null ids, repeated ids and
-    repeated rows are written like any row. An empty table writes no shards.
+    repeated rows are written like any row; rows equal in text and id share a part. An empty table writes no shards.
     """
     keyed = stash(docs.select(*[c.alias(n) for n, c in _key_columns(id_col, text_col).items() if n != "_crc"]), "shard-keys")
     plan = _planned(keyed, shards, tolerance)

@@ -199,8 +199,9 @@ def sort_shard(rows: Iterator[pa.RecordBatch], memory: int) -> Iterator[pa.Recor
     """Marks (ord, dg, lo, hi) of the strings of a shard's segments that start earlier in another place of the shard.
 
     Text, segments' columns and marked places are files of the task's scratch folder, which goes with the task; a lost
-    task starts anew from the stored segments."""
-    with tempfile.TemporaryDirectory() as folder:
+    task starts anew from the stored segments. The folder stands where Spark itself spills, as it tells its workers."""
+    spill = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    with tempfile.TemporaryDirectory(dir=spill[0] if spill else None) as folder:
         files = [open(os.path.join(folder, name), "w+b") for name in ("text", "size", "ord", "dg", "s")]
         for batch in rows:
             segs = batch.column(batch.schema.get_field_index("seg")).to_pylist()

@@ -46,6 +46,12 @@ def test_one_row_and_equal_rows(spark):
     check(rows, sharding.histogram_sort(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 8)
 
 
+def test_equal_rows_are_split(spark):
+    rows = [(5, "the same row again")] * 4000 + [(i, f"text {i}") for i in range(4000)]
+    sizes = check(rows, sharding.histogram_sort(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect(), 8)
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8
+
+
 def test_written_shards(spark, tmp_path, awkward, rows_of):
     docs = spark.createDataFrame([(i, f"row {i} " * (i % 9 + 1), "en") for i in range(200)], "doc_id long, text string, lang string")
     sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
