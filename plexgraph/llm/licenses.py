@@ -3,9 +3,9 @@
 A template of n words is looked for in windows of 2.5 n words that start every n words, so any stretch of up to 1.5 n
 words lies whole in a window. A window that holds the required part of a template's shingles has at least a known
 similarity to it; from that follows how many bands, of one MinHash row each, collide with probability 1 - MISS at least.
-Texts without any of the words of which every match holds one cannot match and are not
-hashed; windows without any shingle of any template cannot match and get no signature. A template of fewer than K words is one
-shingle, its whole word sequence, and is looked for by a pattern in the text. DataFrame functions only.
+Texts without any of the words of which every match holds one cannot match and are not hashed; windows without any
+shingle of a template of their length cannot match and get no signature. A template of fewer than K words is one shingle,
+its whole word sequence, and is looked for by a pattern in the text. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -177,7 +177,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     bands: dict[int, int] = {}
     for r in listed:
         bands[r["n"]] = max(bands.get(r["n"], 1), r["_bands"])
-    classes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(window_words(n)).alias("w"), F.lit(b).alias("b")) for n, b in sorted(bands.items())])
+    # A class is a length of templates. Its windows matter only where they hold a shingle of one of its own templates.
+    of = {n: sorted({h for r in listed if r["n"] == n for h in r["_hashes"]}) for n in bands}
+    held = lambda n: F.array(*[F.lit(h) for h in of[n]]).cast("array<bigint>")
+    classes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(window_words(n)).alias("w"), F.lit(b).alias("b"), held(n).alias("e")) for n, b in sorted(bands.items())])
     # Words and hashes are bound once by transforms over arrays of one item, and exploding only the arrays of documents
     # that share a shingle with a template is a generator, through which no filter is pushed: a plain filter on the
     # hashes would be moved below them, with the split written again into each step of the loop over words.
@@ -190,10 +193,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     hits = F.flatten(F.transform(F.filter(F.array(words_of(F.col(text_col))), lambda w: F.arrays_overlap(w, some)), relevant))
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.explode(hits).alias("_hit")).select("doc_id", F.col("_hit.w").alias("_words"), F.col("_hit.h").alias("_h"))
     windows = (
-        hashed.select("doc_id", "_words", "_h", F.explode(classes).alias("_c"))
+        hashed.select("doc_id", "_words", "_h", F.explode(F.filter(classes, lambda c: F.arrays_overlap(F.col("_h"), c["e"]))).alias("_c"))
         .select("doc_id", "_words", "_h", "_c", F.explode(F.sequence(F.lit(0), F.size("_words") - 1, F.col("_c.n"))).alias("first_word"))
         .withColumn("_own", F.slice("_h", F.col("first_word") + 1, F.col("_c.w") - (K - 1)))
-        .filter(F.arrays_overlap("_own", every))
+        .filter(F.arrays_overlap("_own", F.col("_c.e")))
         .select("doc_id", "first_word", F.col("_c.n").alias("n"), F.slice("_words", F.col("first_word") + 1, F.col("_c.w")).alias("_part"), F.posexplode(_signature(F.col("_own"), F.col("_c.b"))).alias("_band", "_value"))
     )
     sizes = F.create_map(*[F.lit(v) for item in sorted(bands.items()) for v in item])
