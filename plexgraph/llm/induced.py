@@ -58,6 +58,8 @@ class Queue:
         self.inner: dict[int, Queue] = {}
         self.held = self.spilled = 0
         self.file = None
+        self.pending: list[tuple[np.ndarray, ...]] = []  # pushes that are not dealt to ranges yet
+        self.waiting = 0
 
     def _group(self, symbol):
         return symbol if self.wide == 1 else (symbol - self.base) // self.wide
@@ -65,20 +67,54 @@ class Queue:
     def push(self, symbols: np.ndarray, positions: np.ndarray, prefixes: np.ndarray) -> None:
         if not len(symbols):
             return
+        if self.wide > 1:
+            self._wait(symbols, positions, prefixes)
+            return
         order = np.argsort(symbols, kind="stable")
         s, p, l = symbols[order], positions[order], prefixes[order]
-        g = self._group(s)
-        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            c = int(g[a])
-            if c not in self.buckets:
-                self.buckets[c] = []
-                heapq.heappush(self.heap, self.sign * c)
+            c = int(s[a])
+            self._known(c)
+            self.buckets[c].append((p[a:b], l[a:b]))
+        self.held += len(s)
+        if self.held > self.memory:
+            self.spill()
+
+    def _known(self, group: int) -> None:
+        if group not in self.buckets:
+            self.buckets[group] = []
+            heapq.heappush(self.heap, self.sign * group)
+
+    def _wait(self, s: np.ndarray, p: np.ndarray, l: np.ndarray) -> None:
+        """Tuples of ranges that are open go there; the others wait, as few pushes are large and a bucket's part each
+        would take far more than its tuples."""
+        g = self._group(s)
+        rest = np.ones(len(s), dtype=bool)
+        for c in np.unique(g).tolist():
+            self._known(c)
             if c in self.inner:
-                self.inner[c].push(s[a:b], p[a:b], l[a:b])
-                continue
-            self.buckets[c].append((p[a:b], l[a:b]) if self.wide == 1 else (p[a:b], l[a:b], s[a:b].astype(np.int64)))
-            self.held += b - a
+                mine = g == c
+                self.inner[c].push(s[mine], p[mine], l[mine])
+                rest &= ~mine
+        if rest.any():
+            self.pending.append((p[rest], l[rest], s[rest].astype(np.int64)))
+            self.waiting += int(rest.sum())
+            if self.waiting > 1 << 16 or len(self.pending) > 1 << 11:
+                self._deal()
+
+    def _deal(self) -> None:
+        if not self.pending:
+            return
+        p, l, s = (np.concatenate([x[i] for x in self.pending]) for i in range(3))
+        self.pending, self.waiting = [], 0
+        g = self._group(s)
+        order = np.argsort(g, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(g[order]) != 0, [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            at = order[a:b]
+            self.buckets[int(g[at[0]])].append((p[at], l[at], s[at]))
+        self.held += len(s)
         if self.held > self.memory:
             self.spill()
 
@@ -124,6 +160,7 @@ class Queue:
 
     def _open(self, group: int) -> "Queue":
         if group not in self.inner:
+            self._deal()
             items = sum(x[2] - x[1] if isinstance(x, list) else len(x[0]) for x in self.buckets[group])
             queue = Queue(self.folder, self.memory, self.sign, self.wide, items, self.base + group * self.wide)
             while (got := self._take(group)) is not None:
